@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1e-5
-MIN_HOT_ROWS = 10_000
+HOT_ROWS = 100_000
+MAX_HOT_KEYS = 100_000
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -23,23 +23,21 @@ def fits_broadcast(df: DataFrame) -> bool:
         return False
 
 
-def hot_keys(
-    df: DataFrame,
-    keys: list[str],
-    share: float = HOT_SHARE,
-    min_rows: int = MIN_HOT_ROWS,
-) -> DataFrame:
-    """Keys holding more than ``share`` of all rows, with a number of salts for each.
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, and a number of salts for each.
 
-    At most ``1/share`` keys can do so, whatever the size of ``df``: that bounds
-    the result, which may therefore be broadcast. Counting reads the key columns
+    Small enough to broadcast whatever the size of ``df``: of more than
+    ``MAX_HOT_KEYS`` such keys only the largest are named, and any other key then
+    holds less than 1/``MAX_HOT_KEYS`` of the rows. Counting reads the key columns
     only and is combined before the shuffle.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    limit = F.greatest(total * F.lit(share), F.lit(float(min_rows)))
-    return counts.where(F.col("_n") > limit).select(
-        *keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > hot_rows)
+        .orderBy(F.desc("_n"))
+        .limit(MAX_HOT_KEYS)
+        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
     )
 
 
@@ -48,23 +46,23 @@ def lookup_join(
     lookup: DataFrame,
     on: str | list[str],
     how: str = "inner",
-    share: float = HOT_SHARE,
-    min_hot_rows: int = MIN_HOT_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``fact`` with ``lookup``, which has at most one row per key.
 
-    ``how`` is inner, left, left_semi or left_anti. A key that holds a large part
-    of ``fact`` is spread over several tasks: its rows get a salt and its single
-    lookup row is repeated once per salt, at most ``2/share`` repeated rows in all.
-    The salt is the number of the task that read the row: that splits exact copies
-    too, and a task that is run again gives its rows the same salt. Other keys are
-    shuffled as they are. ``fact`` is scanned once more for the counts, so store
-    it first if it is costly (model output).
+    ``how`` is inner, left, left_semi or left_anti. A key with more than
+    ``hot_rows`` rows of ``fact`` is spread over several tasks: its rows get a salt
+    and its single lookup row is repeated once per salt. Together these repeats are
+    at most two for every ``hot_rows`` rows of ``fact``. The salt is the number of
+    the task that read the row: that splits exact copies too, and a task that is run
+    again gives its rows the same salt. Other keys are shuffled as they are, and no
+    row is left out. ``fact`` is scanned once more for the counts, so store it first
+    if it is costly (model output).
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(lookup):
         return fact.join(lookup, keys, how)
-    hot = F.broadcast(hot_keys(fact, keys, share, min_hot_rows))
+    hot = F.broadcast(hot_keys(fact, keys, hot_rows))
     salt = F.when(
         F.col("_salts").isNotNull(), F.pmod(F.spark_partition_id(), F.col("_salts"))
     ).otherwise(F.lit(0))

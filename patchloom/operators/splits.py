@@ -31,14 +31,15 @@ def hash_split(
     return df.withColumn("split", F.when(low, F.lit("test")).otherwise(F.lit("train")))
 
 
-def _row_at(counts: DataFrame, order: str, k: Column) -> DataFrame:
-    """Of a small table of (order, n): the row in which the k-th item falls, one row or
-    none, and the number of items before it."""
-    upto = F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+def _item_at(counts: DataFrame, order: str, k: Column) -> DataFrame:
+    """Of a small table with the columns ``order`` and ``n``: the row in which the k-th
+    item falls, one or none, and how many of its items are within the first k."""
+    running = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum("n").over(running)
     return (
-        counts.withColumn("upto", upto)
-        .where((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k))
-        .select(F.col(order).alias("at"), "n", (k - F.col("upto") + F.col("n")).alias("taken"))
+        counts.withColumns({"_k": k, "_upto": upto})
+        .where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("n") < F.col("_k")))
+        .withColumn("taken", F.col("_k") - F.col("_upto") + F.col("n"))
     )
 
 
@@ -64,35 +65,44 @@ def exact_split(
     prefix = F.left(first_hash, F.lit(PREFIX_CHARS))
     full = F.concat(first_hash, seeded_hash(whole_row, seed))
 
-    by_prefix = df.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    total = by_prefix.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy())
     k = F.when(total > min_rows, F.ceil(total * F.lit(fraction))).otherwise(F.lit(0))
-    at_prefix = _row_at(by_prefix, "prefix", k)
-    edge_prefix = at_prefix.select("at").scalar()
+    by_prefix = df.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    edge_prefix = _item_at(by_prefix, "prefix", k).select(F.struct("prefix", "taken")).scalar()
 
     by_hash = (
-        df.where(prefix == edge_prefix)
+        df.withColumn("_at", edge_prefix)
+        .where(prefix == F.col("_at.prefix"))
         .groupBy(full.alias("full"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("_at.taken").alias("k"))
     )
-    at_row = _row_at(by_hash, "full", at_prefix.select("taken").scalar())
-    edge = at_row.select("at").scalar()
-    on_edge = (prefix == edge_prefix) & (full == edge)
-
-    below = (prefix < edge_prefix) | ((prefix == edge_prefix) & (full < edge))
-    split = F.when(below, F.lit("test")).otherwise(F.lit("train"))
-    apart = df.where(~F.coalesce(on_edge, F.lit(False))).withColumn("split", split)
-
-    copies = df.where(on_edge).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    taken = at_row.select("taken").scalar()
-    sides = F.array(
-        F.struct(F.lit("test").alias("split"), taken.alias("rows")),
-        F.struct(F.lit("train").alias("split"), (F.col("_n") - taken).alias("rows")),
+    edge = _item_at(by_hash, "full", F.col("k")).select(F.struct("full", "taken")).scalar()
+
+    # NULL at the edge (there is no test side) makes every comparison fall through.
+    placed = df.withColumn("_edge", edge)
+    edge_hash = F.col("_edge.full")
+    same_prefix = prefix == F.left(edge_hash, F.lit(PREFIX_CHARS))
+    place = (
+        F.when(prefix < F.left(edge_hash, F.lit(PREFIX_CHARS)), F.lit("test"))
+        .when(same_prefix & (full < edge_hash), F.lit("test"))
+        .when(same_prefix & (full == edge_hash), F.lit("edge"))
+        .otherwise(F.lit("train"))
+    )
+    placed = placed.withColumn("split", place)
+    apart = placed.where(F.col("split") != "edge").select(*columns, "split")
+
+    taken = F.max("_edge.taken").alias("_taken")
+    copies = (
+        placed.where(F.col("split") == "edge")
+        .groupBy(*columns)
+        .agg(F.count(F.lit(1)).alias("_n"), taken)
     )
-    edge_rows = _repeat(copies.withColumn("_side", F.explode(sides)), F.col("_side.rows")).select(
-        *columns, F.col("_side.split").alias("split")
+    sides = F.array(
+        F.struct(F.lit("test").alias("split"), F.col("_taken").alias("rows")),
+        F.struct(F.lit("train").alias("split"), (F.col("_n") - F.col("_taken")).alias("rows")),
     )
-    return apart.unionByName(edge_rows)
+    edge_rows = _repeat(copies.withColumn("_side", F.explode(sides)), F.col("_side.rows"))
+    return apart.unionByName(edge_rows.select(*columns, F.col("_side.split").alias("split")))
 
 
 def _repeat(df: DataFrame, times: Column) -> DataFrame:

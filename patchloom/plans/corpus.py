@@ -2,55 +2,53 @@
 
 The given tables hold no diffs or test runs, so prose becomes the text of a patch
 and labels become outcomes. Everything is derived from whole tables and is the same
-on any engine (see ``oracle.py`` for the SQL).
+on any engine (see ``oracle.py`` for the other engine's SQL).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.functions import diff, prompts
+from patchloom.functions import prompts
 from patchloom.operators.instances import normalize
 from patchloom.operators.joins import lookup_join
 
-ATTEMPTS = 3
+TABLE_SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "events": "event_id long, ts timestamp, user_id long, event_type string, value double, "
+    "props string",
+}
 
+INSTANCE_ID = "concat(source, '__', lang, '-', doc_id) AS instance_id"
+REPO = "concat(source, '/', lang) AS repo"
+MODEL = "concat('m', doc_id % 2) AS model"
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _instance_id() -> Column:
-    return F.concat("source", F.lit("__"), "lang", F.lit("-"), F.col("doc_id").cast("string"))
+# Each line of the text as an added, removed or context line in turn.
+PATCH = r"""concat('--- a/doc_', doc_id, '\n+++ b/doc_', doc_id, '\n@@ -1 +1 @@\n', array_join(
+    transform(split(text, '\n', -1), (line, i) ->
+        concat(CASE i % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END, line)), '\n'))"""
 
+PASSED = "quality = 1 AND toxic = 0"
 
-def _patch() -> Column:
-    def signed(line: Column, i: Column) -> Column:
-        sign = F.when(i % 3 == 0, F.lit("+")).when(i % 3 == 1, F.lit("-")).otherwise(F.lit(" "))
-        return F.concat(sign, line)
 
-    doc = F.col("doc_id").cast("string")
-    return F.concat(
-        F.lit("--- a/doc_"), doc, F.lit("\n+++ b/doc_"), doc, F.lit("\n@@ -1 +1 @@\n"),
-        F.array_join(F.transform(diff.lines(F.col("text")), signed), "\n"),
-    )
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instances as a source would deliver them; every other one lacks its test patch."""
-    doc_id = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").selectExpr(
         "doc_id",
-        _instance_id().alias("instance_id"),
-        F.concat("source", F.lit("/"), "lang").alias("repo"),
-        F.md5(doc_id.cast("string")).alias("base_commit"),
-        F.col("text").alias("problem_statement"),
-        _patch().alias("patch"),
-        F.when(doc_id % 2 == 1, _patch()).alias("test_patch"),
-        F.when(doc_id % 3 == 1, F.lit(""))
-        .when(doc_id % 3 == 2, F.left("text", F.lit(80)))
-        .alias("hints_text"),
+        INSTANCE_ID,
+        REPO,
+        "md5(cast(doc_id AS string)) AS base_commit",
+        "text AS problem_statement",
+        f"{PATCH} AS patch",
+        f"CASE WHEN doc_id % 2 = 1 THEN {PATCH} END AS test_patch",
+        "CASE doc_id % 3 WHEN 1 THEN '' WHEN 2 THEN left(text, 80) END AS hints_text",
     )
 
 
@@ -65,143 +63,124 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _passed() -> Column:
-    return (F.col("quality") == 1) & (F.col("toxic") == 0)
-
-
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gold patch, nothing, or the first half of the gold patch, by label."""
-    patch = _patch()
-    n = diff.line_count(patch)
-    half = F.call_function("substring_index", patch, F.lit("\n"), F.floor(n / 2).cast("int"))
-    return _labelled(spark, sf_dir).select(
-        "doc_id",
-        _instance_id().alias("instance_id"),
-        F.when(_passed(), patch)
-        .when((F.col("quality") == 0) & (F.col("toxic") == 1), F.lit(""))
-        .otherwise(half)
-        .alias("patch"),
-        F.concat(F.lit("m"), (F.col("doc_id") % 2).cast("string")).alias("model"),
+    half = r"substring_index(patch, '\n', (octet_length(patch) - "
+    half += r"octet_length(replace(patch, '\n', '')) + 1) div 2)"
+    return (
+        _labelled(spark, sf_dir)
+        .selectExpr("doc_id", INSTANCE_ID, MODEL, "quality", "toxic", f"{PATCH} AS patch")
+        .selectExpr(
+            "doc_id",
+            "instance_id",
+            f"""CASE WHEN {PASSED} THEN patch WHEN quality = 0 AND toxic = 1 THEN ''
+                ELSE {half} END AS patch""",
+            "model",
+        )
     )
 
 
 def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions as read from files: an early wrong one, then the one that counts."""
-    once = predictions(spark, sf_dir).select("instance_id", "patch", "doc_id")
-    versions = F.array(
-        F.struct(F.lit("superseded").alias("patch"), (F.col("doc_id") * 2).alias("pos")),
-        F.struct(F.col("patch"), (F.col("doc_id") * 2 + 1).alias("pos")),
+    return predictions(spark, sf_dir).selectExpr(
+        "instance_id",
+        """inline(array(named_struct('patch', 'superseded', 'pos', doc_id * 2),
+                        named_struct('patch', patch, 'pos', doc_id * 2 + 1)))""",
     )
-    return once.select("instance_id", F.inline(versions))
 
 
-def _result_rows(labelled: DataFrame, passed: Column) -> DataFrame:
-    doc_id = F.col("doc_id")
-    messages = [None, "", "Failed to apply patch: x", "Read Timeout", "Docker daemon", "boom"]
-    message = F.get(F.array(*[F.lit(m).cast("string") for m in messages]), doc_id % len(messages))
-    rows = labelled.select("*", passed.alias("passed"))
-    return rows.select(
-        "doc_id",
-        _instance_id().alias("instance_id"),
-        F.concat("source", F.lit("/"), "lang").alias("repo"),
-        F.concat(F.lit("m"), (doc_id % 2).cast("string")).alias("model"),
-        "passed",
-        (F.col("n_chars") % 7 + F.col("passed").cast("int")).cast("int").alias("tests_passed"),
-        F.when(F.col("passed"), F.lit(0)).otherwise(1 + doc_id % 3).cast("int").alias("tests_failed"),
-        F.col("toxic").alias("tests_error"),
-        (F.col("toxic") == 0).alias("patch_applied"),
-        F.when(~F.col("passed"), message).alias("error_message"),
-        # Eighths are exact in binary, so sums do not depend on their order.
-        (F.col("n_chars") / F.lit(8.0)).alias("execution_time"),
+def _result_rows(spark: SparkSession, sf_dir: str, passed: str) -> DataFrame:
+    # Times are eighths: exact in binary, so sums do not depend on their order.
+    return (
+        _labelled(spark, sf_dir)
+        .selectExpr("doc_id", INSTANCE_ID, REPO, MODEL, "n_chars", "toxic", f"{passed} AS passed")
+        .selectExpr(
+            "doc_id",
+            "instance_id",
+            "repo",
+            "model",
+            "passed",
+            "int(n_chars % 7 + int(passed)) AS tests_passed",
+            "int(CASE WHEN passed THEN 0 ELSE 1 + doc_id % 3 END) AS tests_failed",
+            "toxic AS tests_error",
+            "toxic = 0 AS patch_applied",
+            """CASE WHEN NOT passed THEN CASE doc_id % 6 WHEN 1 THEN ''
+                WHEN 2 THEN 'Failed to apply patch: x' WHEN 3 THEN 'Read Timeout'
+                WHEN 4 THEN 'Docker daemon' WHEN 5 THEN 'boom' END END AS error_message""",
+            "n_chars / 8D AS execution_time",
+        )
     )
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result_rows(_labelled(spark, sf_dir), _passed())
+    return _result_rows(spark, sf_dir, PASSED)
 
 
 def results_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second run, in which every fifth document came out the other way."""
-    flipped = F.when(F.col("doc_id") % 5 == 0, ~_passed()).otherwise(_passed())
-    return _result_rows(_labelled(spark, sf_dir), flipped)
+    return _result_rows(spark, sf_dir, f"(doc_id % 5 = 0) <> ({PASSED})")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers in four shapes: a git diff, a plain diff, markers in prose, prose."""
-    kind = F.col("conv_id") % 4
-    text = F.col("text")
-    response = (
-        F.when(
-            kind == 0,
-            F.concat(F.lit("Sure. "), text, F.lit("\ndiff --git a/x b/x\n+"), text, F.lit("\n \n")),
-        )
-        .when(kind == 1, F.concat(F.lit("So:\n--- a/x\n+++ b/x\n+"), text, F.lit("\n")))
-        .when(kind == 2, F.concat(text, F.lit(" --- or +++ "), text))
-        .otherwise(F.concat(F.lit("\u3000 \t"), text, F.lit(" \x1c\n")))
+    assistant = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return assistant.selectExpr(
+        "conv_id",
+        "turn",
+        r"""CASE conv_id % 4
+            WHEN 0 THEN concat('Sure. ', text, '\ndiff --git a/x b/x\n+', text, '\n \n')
+            WHEN 1 THEN concat('So:\n--- a/x\n+++ b/x\n+', text, '\n')
+            WHEN 2 THEN concat(text, ' --- or +++ ', text)
+            ELSE concat('\u3000 \t', text, ' \u001c\n') END AS response""",
     )
-    assistant = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    return assistant.select("conv_id", "turn", response.alias("response"))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test logs that end in a runner's summary line; parts that are zero are left out."""
-
-    def part(count: Column, word: str) -> Column:
-        return F.when(count > 0, F.concat(count.cast("string"), F.lit(word)))
-
-    event_id = F.col("event_id")
-    counts = F.concat_ws(
-        ", ",
-        part(event_id % 3, " failed"),
-        part(F.col("user_id"), " passed"),
-        part(event_id % 4, " errors"),
-    )
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        F.concat(
-            F.lit("collected\n7 passed so far\n=== "), counts, F.lit(" in 0.12s ===")
-        ).alias("log"),
+        r"""concat('collected\n7 passed so far\n=== ', concat_ws(', ',
+                CASE WHEN event_id % 3 > 0 THEN concat(event_id % 3, ' failed') END,
+                CASE WHEN user_id > 0 THEN concat(user_id, ' passed') END,
+                CASE WHEN event_id % 4 > 0 THEN concat(event_id % 4, ' errors') END),
+            ' in 0.12s ===') AS log""",
     )
 
 
 def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long logs: whole documents."""
-    return table(spark, sf_dir, "documents").select(
-        _instance_id().alias("instance_id"), F.col("text").alias("logs")
-    )
+    return table(spark, sf_dir, "documents").selectExpr(INSTANCE_ID, "text AS logs")
 
 
 def echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated texts that repeat their prompt, do not, or consist of it."""
-    kind = F.col("doc_id") % 3
     prompted = raw_instances(spark, sf_dir).withColumn("prompt", prompts.short_prompt())
-    generated = (
-        F.when(kind == 0, F.concat("prompt", F.lit(" \n"), "patch", F.lit("\n")))
-        .when(kind == 1, F.col("patch"))
-        .otherwise(F.col("prompt"))
+    return prompted.selectExpr(
+        "instance_id",
+        "prompt",
+        r"""CASE doc_id % 3 WHEN 0 THEN concat(prompt, ' \n', patch, '\n')
+            WHEN 1 THEN patch ELSE prompt END AS generated""",
     )
-    return prompted.select("instance_id", "prompt", generated.alias("generated"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three attempts per prediction, of which every third one passes."""
-    attempt = F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)))
-    fanned = predictions(spark, sf_dir).withColumn("attempt", attempt)
-    return fanned.select(
+    fanned = predictions(spark, sf_dir).select("*", F.expr("explode(sequence(0, 2)) AS attempt"))
+    return fanned.selectExpr(
         "instance_id",
         "attempt",
-        F.concat("patch", F.col("attempt").cast("string")).alias("patch"),
-        ((F.col("doc_id") + F.col("attempt")) % 3 == 0).alias("passed"),
+        "concat(patch, attempt) AS patch",
+        "(doc_id + attempt) % 3 = 0 AS passed",
     )
 
 
 def candidate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three answers per instance: the gold patch, a longer one, and one that may have failed."""
-    attempt = F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)))
-    fanned = raw_instances(spark, sf_dir).withColumn("attempt", attempt)
-    response = (
-        F.when(F.col("attempt") == 0, F.col("patch"))
-        .when(F.col("attempt") == 1, F.concat(F.lit(" \n"), "patch", F.lit("\n+extra\n")))
-        .when(F.col("doc_id") % 4 != 0, F.concat(F.lit("diff "), "patch"))
+    fanned = raw_instances(spark, sf_dir).select("*", F.expr("explode(sequence(0, 2)) AS attempt"))
+    return fanned.selectExpr(
+        "instance_id",
+        "attempt",
+        r"""CASE WHEN attempt = 0 THEN patch
+            WHEN attempt = 1 THEN concat(' \n', patch, '\n+extra\n')
+            WHEN doc_id % 4 <> 0 THEN concat('diff ', patch) END AS response""",
     )
-    return fanned.select("instance_id", "attempt", response.alias("response"))
