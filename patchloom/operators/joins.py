@@ -15,12 +15,11 @@ def fits_broadcast(df: DataFrame) -> bool:
     The estimate is the one the planner itself goes by, so a yes means that it is
     going to broadcast ``df`` and that no shuffle, hence no hot partition, arises.
     """
-    try:
-        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return 0 <= int(size.toString()) <= int(limit)
-    except AttributeError:  # a Connect session has no local plan to ask
+    if not hasattr(df, "_jdf"):  # a Connect session has no local plan to ask
         return False
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= int(limit)
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
