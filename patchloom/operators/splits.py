@@ -49,6 +49,7 @@ def exact_split(
     fraction: float = 0.1,
     seed: int = SEED,
     min_rows: int = SFT_MIN_ROWS,
+    key_is_unique: bool = False,
 ) -> DataFrame:
     """Add ``split``: exactly ``ceil(fraction · rows)`` rows are test, the lowest by hash.
 
@@ -58,12 +59,19 @@ def exact_split(
     prefix in which it lies, a count per full hash within that prefix the row. Exact
     copies of that row are interchangeable; they are counted, and written out again
     on both sides in the right numbers.
+
+    With ``key_is_unique`` only the key is read to find the boundary and the table
+    itself once; if the key repeats after all, the copies of one key may make the
+    test side larger. ``df`` is scanned up to four times: store it first if it is
+    costly.
     """
     columns = df.columns
     whole_row = F.to_json(F.struct(*columns))
     first_hash = seeded_hash(F.col(key) if key else whole_row, seed)
+    if key_is_unique and not key:
+        raise ValueError("key_is_unique needs a key")
     prefix = F.left(first_hash, F.lit(PREFIX_CHARS))
-    full = F.concat(first_hash, seeded_hash(whole_row, seed))
+    full = first_hash if key_is_unique else F.concat(first_hash, seeded_hash(whole_row, seed))
 
     total = F.sum("n").over(Window.partitionBy())
     k = F.when(total > min_rows, F.ceil(total * F.lit(fraction))).otherwise(F.lit(0))
@@ -81,6 +89,10 @@ def exact_split(
     # NULL at the edge (there is no test side) makes every comparison fall through.
     placed = df.withColumn("_edge", edge)
     edge_hash = F.col("_edge.full")
+    if key_is_unique:
+        low = F.coalesce(full <= edge_hash, F.lit(False))
+        split = F.when(low, F.lit("test")).otherwise(F.lit("train"))
+        return placed.select(*columns, split.alias("split"))
     same_prefix = prefix == F.left(edge_hash, F.lit(PREFIX_CHARS))
     place = (
         F.when(prefix < F.left(edge_hash, F.lit(PREFIX_CHARS)), F.lit("test"))

@@ -48,7 +48,7 @@ def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text AS problem_statement",
         f"{PATCH} AS patch",
         f"CASE WHEN doc_id % 2 = 1 THEN {PATCH} END AS test_patch",
-        "CASE doc_id % 3 WHEN 1 THEN '' WHEN 2 THEN left(text, 80) END AS hints_text",
+        "CASE doc_id % 3 WHEN 1 THEN '' WHEN 2 THEN text END AS hints_text",
     )
 
 

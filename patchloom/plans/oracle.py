@@ -40,7 +40,7 @@ TABLES = {
               || array_to_string(list_transform(string_split(d.text, {NL}),
                    lambda l, k: (CASE (k - 1) % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END) || l),
                  {NL}) AS patch,
-            CASE d.doc_id % 3 WHEN 1 THEN '' WHEN 2 THEN d.text[1:80] END AS hints_text,
+            CASE d.doc_id % 3 WHEN 1 THEN '' WHEN 2 THEN d.text END AS hints_text,
             CAST(NULL AS VARCHAR) AS created_at, CAST(NULL AS VARCHAR) AS version
           FROM documents d) b""",
     ),
@@ -158,8 +158,8 @@ def _eval_pairs(default: str, known: str) -> str:
 
 # The prompt only needs these columns, and `patch` would be ambiguous in joins.
 _EVAL = {
-    "strict": _eval_pairs("true", "doc_id % 7 <> 0"),
-    "lenient": _eval_pairs("false", "doc_id % 7 <> 0"),
+    "strict": _eval_pairs("true", "coalesce(error_message, '') <> 'Docker daemon'"),
+    "lenient": _eval_pairs("false", "coalesce(error_message, '') <> 'Docker daemon'"),
     "all": _eval_pairs("false", "true"),
 }
 _EVAL = {k: v.replace("|| patch ||", "|| i.patch ||") for k, v in _EVAL.items()}
@@ -567,6 +567,15 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
             row_number() OVER (ORDER BY {_seeded(32)}) AS place
           FROM instances)""",
     ),
+    "train_test_split_pairs": (
+        ["instances"],
+        f"""SELECT split, CAST(sum(n_rows) AS BIGINT) AS n_rows
+        FROM (SELECT unnest(['test', 'train']) AS split,
+            unnest([CAST(ceil(n * 0.1::DOUBLE) AS BIGINT),
+              n - CAST(ceil(n * 0.1::DOUBLE) AS BIGINT)]) AS n_rows
+          FROM (SELECT CAST(sum(len(string_split(patch, {NL}))) AS BIGINT) AS n FROM instances))
+        GROUP BY split""",
+    ),
     "train_test_split_hash": (
         ["instances"],
         f"""SELECT instance_id, repo,

@@ -239,8 +239,8 @@ def pairs_rule_based(spark, sf):
 
 
 def _outcome_pairs(spark, sf, missing_is_failure):
-    # Every seventh result is missing, so that the two defaults differ.
-    known = corpus.results(spark, sf).where(F.col("doc_id") % 7 != 0)
+    # Runs the container daemon lost have no result, so that the two defaults differ.
+    known = corpus.results(spark, sf).where("coalesce(error_message, '') <> 'Docker daemon'")
     return pairs.from_outcomes(
         corpus.instances(spark, sf), corpus.predictions(spark, sf), known, missing_is_failure
     )
@@ -467,7 +467,17 @@ def cmp_document(spark, sf):
 
 @query
 def train_test_split(spark, sf):
-    return splits.exact_split(corpus.instances(spark, sf).select("instance_id", "repo"), "instance_id")
+    rows = corpus.instances(spark, sf).select("instance_id", "repo")
+    return splits.exact_split(rows, "instance_id", key_is_unique=True)
+
+
+@query
+def train_test_split_pairs(spark, sf):
+    # Rows that may repeat: split by the hash of the whole row.
+    lines = corpus.instances(spark, sf).select(F.explode(diff.lines(F.col("patch"))).alias("line"))
+    return splits.exact_split(lines, min_rows=splits.DPO_MIN_ROWS).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
 
 
 @query

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Patches and prompts are long: keep a batch for Python workers to some megabytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Call sites are otherwise looked up for each column expression on the driver.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

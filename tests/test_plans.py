@@ -49,4 +49,4 @@ def test_row_wise_queries_do_not_shuffle(spark, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_rankings_are_over_bounded_tables_only(spark, name):
     windows = plan(QUERIES[name](spark, SF_DIR)).count("+- Window ")
-    assert windows == 0 or name == "train_test_split"
+    assert windows == 0 or name in ("train_test_split", "train_test_split_pairs")

@@ -18,6 +18,7 @@ def test_exact_size(spark, n):
     found = sizes(got)
     assert found.get("test", 0) == want and found.get("train", 0) == n - want
     assert rows(got.select("instance_id", "v")) == rows(df)
+    assert rows(exact_split(df, "instance_id", key_is_unique=True)) == rows(got)
 
 
 def test_exact_size_with_copies_on_the_edge(spark):
