@@ -71,7 +71,8 @@ def exact_split(
     if key_is_unique and not key:
         raise ValueError("key_is_unique needs a key")
     prefix = F.left(first_hash, F.lit(PREFIX_CHARS))
-    full = first_hash if key_is_unique else F.concat(first_hash, seeded_hash(whole_row, seed))
+    by_key = key and not key_is_unique
+    full = F.concat(first_hash, seeded_hash(whole_row, seed)) if by_key else first_hash
 
     total = F.sum("n").over(Window.partitionBy())
     k = F.when(total > min_rows, F.ceil(total * F.lit(fraction))).otherwise(F.lit(0))

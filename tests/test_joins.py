@@ -69,3 +69,31 @@ def test_skewed_operators(spark, no_broadcast):
     assert comparison.summary(base, results).first().n_new_resolved == 300
     copies = results.selectExpr("instance_id", "'p' AS patch", "monotonically_increasing_id() AS pos")
     assert pred.keep_last(copies).count() == 601
+
+
+def test_pairs_with_a_hot_instance(spark, no_broadcast, monkeypatch):
+    """One instance has a third of all candidates; compared with nested loops."""
+    from patchloom.operators import joins, pairs
+
+    monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", 20))
+    attempts = [
+        ("hot" if n % 3 == 0 else f"i{n % 50}", n, f"p{n % 9}", n % 4 == 1) for n in range(600)
+    ]
+    issues = [(name, "o/r", f"issue {name}", f"gold {name}") for name in {a[0] for a in attempts}]
+    candidates = spark.createDataFrame(
+        attempts, "instance_id string, attempt int, patch string, passed boolean"
+    ).repartition(6)
+    instances = spark.createDataFrame(
+        issues, "instance_id string, repo string, problem_statement string, patch string"
+    )
+    best = {}
+    for name, n, patch, passed in attempts:
+        if passed:
+            best.setdefault(name, patch)
+    want = sorted((best[a[0]], a[2], a[0]) for a in attempts if not a[3] and a[0] in best)
+    got = pairs.pass_fail(instances, candidates)
+    assert rows(got.select("chosen", "rejected", "instance_id")) == sorted(want, key=repr)
+
+    responses = candidates.selectExpr("instance_id", "attempt", "patch AS response")
+    got = pairs.from_candidates(instances, responses).select("chosen", "rejected", "instance_id")
+    assert rows(got) == sorted(((f"gold {a[0]}", a[2], a[0]) for a in attempts), key=repr)
