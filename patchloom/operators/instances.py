@@ -20,15 +20,13 @@ def normalize(raw: DataFrame) -> DataFrame:
     stay NULL.
     """
     require_columns(raw, ["instance_id", "repo", "base_commit", "problem_statement", "patch"])
-    columns = []
-    for field in schemas.INSTANCE:
-        present = field.name in raw.columns
-        value = F.col(field.name) if present else F.lit(None)
-        value = value.cast(field.dataType)
-        if field.name == "test_patch":
-            value = F.coalesce(value, F.lit(""))
-        columns.append(value.alias(field.name))
-    return raw.select(*columns)
+    defaults = {"test_patch": "''"}
+
+    def expression(name: str) -> str:
+        given = name if name in raw.columns else "NULL"
+        return f"coalesce(cast({given} AS string), {defaults.get(name, 'NULL')}) AS {name}"
+
+    return raw.selectExpr(*[expression(name) for name in schemas.INSTANCE.names])
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:

@@ -47,25 +47,44 @@ def lookup_join(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join ``fact`` with ``lookup``, which has at most one row per key.
+    """:func:`lookup_joins` with one lookup."""
+    return lookup_joins(fact, [(lookup, how)], on, hot_rows)
 
-    ``how`` is inner, left, left_semi or left_anti. A key with more than
-    ``hot_rows`` rows of ``fact`` is spread over several tasks: its rows get a salt
-    and its single lookup row is repeated once per salt. Together these repeats are
-    at most two for every ``hot_rows`` rows of ``fact``. The salt is the number of
-    the task that read the row: that splits exact copies too, and a task that is run
-    again gives its rows the same salt. Other keys are shuffled as they are, and no
-    row is left out. ``fact`` is scanned once more for the counts, so store it first
-    if it is costly (model output).
+
+def lookup_joins(
+    fact: DataFrame,
+    lookups: list[tuple[DataFrame, str]],
+    on: str | list[str],
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join ``fact`` with lookups, each of which has at most one row per key.
+
+    ``lookups`` are pairs of a table and inner, left, left_semi or left_anti. All
+    joins use the same shuffle of ``fact``. A key with more than ``hot_rows`` rows of
+    ``fact`` is spread over several tasks: its rows get a salt and its single lookup
+    row is repeated once per salt. Together these repeats are at most two for every
+    ``hot_rows`` rows of ``fact``. The salt is the number of the task that read the
+    row: that splits exact copies too, and a task that is run again gives its rows
+    the same salt. Other keys are shuffled as they are, and no row is left out.
+    ``fact`` is scanned once more for the counts, so store it first if it is costly
+    (model output).
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(lookup):
-        return fact.join(lookup, keys, how)
+    small = [fits_broadcast(lookup) for lookup, _ in lookups]
+    if all(small):
+        for lookup, how in lookups:
+            fact = fact.join(lookup, keys, how)
+        return fact
     hot = F.broadcast(hot_keys(fact, keys, hot_rows))
     salt = F.when(
         F.col("_salts").isNotNull(), F.pmod(F.spark_partition_id(), F.col("_salts"))
     ).otherwise(F.lit(0))
-    salted = fact.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    repeated = lookup.join(hot, keys, "left").withColumn("_salt", copies).drop("_salts")
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    joined = fact.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    for (lookup, how), is_small in zip(lookups, small):
+        if is_small:
+            joined = joined.join(lookup, keys, how)
+        else:
+            repeated = lookup.join(hot, keys, "left").withColumn("_salt", copies)
+            joined = joined.join(repeated.drop("_salts"), [*keys, "_salt"], how)
+    return joined.drop("_salt")

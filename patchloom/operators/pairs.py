@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from patchloom.functions import diff, prompts
 from patchloom.functions.text import strip
 from patchloom.operators.generation import generate
-from patchloom.operators.joins import lookup_join
+from patchloom.operators.joins import lookup_join, lookup_joins
 from patchloom.operators.predictions import unique
 
 METHODS = ("evaluation", "synthetic", "rule_based", "hybrid")
@@ -35,18 +35,16 @@ def from_outcomes(
 ) -> DataFrame:
     """Gold patch over the failed prediction of the same instance.
 
-    ``missing_is_failure`` says what a prediction without a result counts as. The
-    two one-row-per-id tables are joined first, so that the instances' texts are
-    shuffled once and only failed predictions take part.
+    ``missing_is_failure`` says what a prediction without a result counts as. Each of
+    the three tables is shuffled once, by instance.
     """
-    outcomes = unique(results.select(*[c for c in ("instance_id", "passed", "pos") if c in results.columns]))
+    known = [c for c in ("instance_id", "passed", "pos") if c in results.columns]
     candidates = unique(predictions).select("instance_id", F.col("patch").alias("rejected"))
-    failed = (
-        candidates.join(outcomes, "instance_id", "left")
-        .where(~F.coalesce(F.col("passed"), F.lit(not missing_is_failure)))
-        .select("instance_id", "rejected")
-    )
-    joined = lookup_join(instances, failed, "instance_id")
+    joined = lookup_joins(
+        instances.select("instance_id", "repo", "problem_statement", "patch"),
+        [(candidates, "inner"), (unique(results.select(*known)), "left")],
+        "instance_id",
+    ).where(~F.coalesce(F.col("passed"), F.lit(not missing_is_failure)))
     if drop_equal:
         joined = joined.where(F.col("rejected") != F.col("patch"))
     return _pairs(joined, F.col("rejected"), F.lit("evaluation"))
@@ -149,11 +147,10 @@ def pass_fail(instances: DataFrame, candidates: DataFrame) -> DataFrame:
         .agg(F.min_by("patch", "attempt").alias("chosen"))
     )
     issues = instances.select("instance_id", "repo", "problem_statement")
-    lookup = issues.join(chosen, "instance_id")
     failing = candidates.where(~F.col("passed")).select(
         "instance_id", F.col("patch").alias("rejected")
     )
-    joined = lookup_join(failing, lookup, "instance_id")
+    joined = lookup_joins(failing, [(chosen, "inner"), (issues, "inner")], "instance_id")
     return _pairs(joined, F.col("rejected"), F.lit("pass_fail"), chosen="chosen")
 
 

@@ -54,7 +54,7 @@ def exact_split(
     """Add ``split``: exactly ``ceil(fraction · rows)`` rows are test, the lowest by hash.
 
     Up to ``min_rows`` rows there is no test side. Rows are ordered by the hash of
-    ``key`` (default: of the whole row), then by that of the whole row. No sort of
+    ``key`` (default: a fast one of the whole row), then by that of the whole row. No sort of
     the table is needed to find the boundary: a count per hash prefix names the
     prefix in which it lies, a count per full hash within that prefix the row. Exact
     copies of that row are interchangeable; they are counted, and written out again
@@ -67,12 +67,14 @@ def exact_split(
     """
     columns = df.columns
     whole_row = F.to_json(F.struct(*columns))
-    first_hash = seeded_hash(F.col(key) if key else whole_row, seed)
+    if key:
+        first_hash = seeded_hash(F.col(key), seed)
+    else:
+        first_hash = F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0")
     if key_is_unique and not key:
         raise ValueError("key_is_unique needs a key")
     prefix = F.left(first_hash, F.lit(PREFIX_CHARS))
-    by_key = key and not key_is_unique
-    full = F.concat(first_hash, seeded_hash(whole_row, seed)) if by_key else first_hash
+    full = first_hash if key_is_unique else F.concat(first_hash, seeded_hash(whole_row, seed))
 
     total = F.sum("n").over(Window.partitionBy())
     k = F.when(total > min_rows, F.ceil(total * F.lit(fraction))).otherwise(F.lit(0))

@@ -76,6 +76,7 @@ def test_pairs_with_a_hot_instance(spark, no_broadcast, monkeypatch):
     from patchloom.operators import joins, pairs
 
     monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", 20))
+    monkeypatch.setattr(joins.lookup_joins, "__defaults__", (20,))
     attempts = [
         ("hot" if n % 3 == 0 else f"i{n % 50}", n, f"p{n % 9}", n % 4 == 1) for n in range(600)
     ]
