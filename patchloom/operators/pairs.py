@@ -119,8 +119,8 @@ def synthetic(
     """Ask a generator for flawed patches and pair them with the gold ones.
 
     The instance's own columns ride along through the Python worker, so requests
-    and answers need no join. Write the result before using it twice, since every
-    use calls the generator again.
+    and answers need no join. Every use of the result calls the generator again: pass it
+    through ``writers.store`` first.
     """
     asked = requests(instances, num_negatives, temperature, wording).select(
         "instance_id", "repo", "problem_statement", "patch", "temperature", "request"

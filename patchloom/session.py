@@ -28,3 +28,11 @@ def configure(builder: SparkSession.Builder, **extra: str) -> SparkSession.Build
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")

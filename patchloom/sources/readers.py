@@ -163,8 +163,9 @@ def read_sft_examples(spark: SparkSession, path: str, array: bool = False) -> Da
 
 def read_patch_files(spark: SparkSession, path: str) -> DataFrame:
     """(instance_id, patch) from a directory of ``patch_<id>.diff`` files."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    instance_id = F.url_decode(F.regexp_extract(name, r"^(?:patch_)?(.*)\.diff$", 1))
+    # Names come percent-encoded, with plus signs as they are.
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    instance_id = F.regexp_extract(name, r"^(?:patch_)?(.*)\.diff$", 1)
     return spark.read.text(path, wholetext=True).select(
         instance_id.alias("instance_id"), F.col("value").alias("patch")
     )

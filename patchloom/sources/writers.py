@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom import schemas
-from patchloom.operators.metrics import global_metrics
+from patchloom.operators.metrics import error_types, global_metrics, per_repo
 from patchloom.operators.pairs import dpo
+from patchloom.session import shared_folder
 
 
 def write_dataset(
@@ -52,23 +55,37 @@ def write_patch_files(predictions: DataFrame, path: str, mode: str = "errorifexi
     rows.write.mode(mode).partitionBy("instance_id").text(path)
 
 
+def store(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet and read it back from there.
+
+    For tables that are costly to compute and used more than once, such as model
+    output: what was written outlives the executors that computed it. Without a
+    path it goes to a new folder under the shared one.
+    """
+    spark = df.sparkSession
+    path = path or f"{shared_folder(spark)}/stored/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_report(
     results: DataFrame, path: str, run_ts: str, config: dict[str, str] | None = None
 ) -> None:
-    """Results and their metrics under ``path``, both partitioned by run.
+    """Results, metrics, and their breakdowns under ``path``, each partitioned by run.
 
-    Results are written first and the metrics computed from what was written, so
+    Results are written first and the rest is computed from what was written, so
     the input is evaluated once.
     """
-    spark = results.sparkSession
-    stored = f"{path}/results/run_ts={run_ts}"
-    results.select(*schemas.RESULT.names).write.parquet(stored)
-    settings = {str(k): str(v) for k, v in (config or {}).items()}
-    pairs = [F.lit(text) for item in settings.items() for text in item]
-    config_map = F.create_map(*pairs).cast("map<string,string>")
-    global_metrics(spark.read.schema(schemas.RESULT).parquet(stored)).withColumn(
-        "config", config_map
-    ).write.json(f"{path}/metrics/run_ts={run_ts}")
+
+    def part(name: str) -> str:
+        return f"{path}/{name}/run_ts={run_ts}"
+
+    stored = store(results.select(*schemas.RESULT.names), part("results"))
+    settings = [F.lit(str(text)) for item in (config or {}).items() for text in item]
+    config_map = F.create_map(*settings).cast("map<string,string>")
+    global_metrics(stored).withColumn("config", config_map).write.json(part("metrics"))
+    per_repo(stored).write.json(part("per_repo"))
+    error_types(stored).write.json(part("error_types"))
 
 
 def write_comparison(comparison: DataFrame, path: str, mode: str = "errorifexists") -> None:

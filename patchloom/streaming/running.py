@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.query import StreamingQuery
 
 from patchloom import schemas
 from patchloom.operators.metrics import global_metrics
+from patchloom.session import shared_folder
 
 
 def result_stream(
@@ -28,11 +32,15 @@ def running_metrics(results: DataFrame, by: list[str] | None = None) -> DataFram
     return global_metrics(results, by)
 
 
-def start(metrics: DataFrame, sink, checkpoint: str):
+def start(
+    metrics: DataFrame, sink: Callable[[DataFrame, int], None], name: str = "running_metrics"
+) -> StreamingQuery:
     """Process what is there and stop; ``sink(df, batch_id)`` receives the full metrics.
 
-    A restart with the same checkpoint goes on where the last run ended.
+    Progress is kept under ``name`` in the shared folder; a restart with the same name
+    goes on where the last run ended.
     """
+    checkpoint = f"{shared_folder(metrics.sparkSession)}/streams/{name}"
     return (
         metrics.writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)

@@ -10,12 +10,13 @@ from patchloom.session import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = configure(
         SparkSession.builder.master("local[4]").appName("tests"),
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__driver__memory="4g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     ).getOrCreate()
     session.sparkContext.setLogLevel("OFF")
     yield session

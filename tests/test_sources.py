@@ -176,8 +176,10 @@ def test_patch_files(spark, tmp_path, put):
     folder = tmp_path / "diffs"
     folder.mkdir()
     (folder / "patch_o__r-1.diff").write_text("--- a\n+++ b\n")
-    (folder / "plain.diff").write_text("x")
-    assert values(readers.read_patch_files(spark, str(folder))) == [("o__r-1", "--- a\n+++ b\n"), ("plain", "x")]
+    (folder / "a+b c%20é.diff").write_text("x")
+    assert values(readers.read_patch_files(spark, str(folder))) == [
+        ("a+b c%20é", "x"), ("o__r-1", "--- a\n+++ b\n"),
+    ]
 
 
 def test_report(spark, tmp_path):
@@ -191,6 +193,17 @@ def test_report(spark, tmp_path):
     assert rows(stored.drop("run_ts")) == rows(df)
     written = spark.read.json(f"{out}/metrics").first()
     assert (written.resolved, written.avg_execution_time, written.config.max_workers) == (1, 3.0, "4")
+    assert rows(spark.read.json(f"{out}/per_repo").select("repo", "resolved")) == [("a", 1), ("b", 0)]
+    assert spark.read.json(f"{out}/error_types").first().error_type == "other"
     writers.write_report(df, out, "20240102_000000")
     assert metrics.global_metrics(spark.read.parquet(f"{out}/results"), ["run_ts"]).count() == 2
     assert spark.read.json(f"{out}/metrics").count() == 2
+
+
+def test_stored_tables_outlive_their_input(spark, tmp_path):
+    given = tmp_path / "given"
+    spark.range(5).write.parquet(str(given))
+    stored = writers.store(spark.read.parquet(str(given)).selectExpr("id * 2 AS x"))
+    for file in given.iterdir():
+        file.unlink()
+    assert rows(stored) == [(0,), (2,), (4,), (6,), (8,)]

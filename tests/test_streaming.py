@@ -6,7 +6,7 @@ from patchloom.streaming import running
 
 
 def test_running_metrics_equal_the_batch(spark, tmp_path):
-    arriving, checkpoint = tmp_path / "in", str(tmp_path / "checkpoint")
+    arriving = tmp_path / "in"
     seen = []
 
     def deliver(first, last):
@@ -19,7 +19,7 @@ def test_running_metrics_equal_the_batch(spark, tmp_path):
     def run():
         stream = running.result_stream(spark, str(arriving), max_files_per_trigger=2)
         sink = lambda df, _: seen.append(rows(df))
-        running.start(running.running_metrics(stream), sink, checkpoint).awaitTermination(120)
+        running.start(running.running_metrics(stream), sink, "test").awaitTermination(120)
 
     for first, last in [(0, 10), (10, 25)]:
         deliver(first, last)
