@@ -39,13 +39,16 @@ def extract_patch(response: Column) -> Column:
     )
 
 
-def strip_prompt_echo(generated: Column, prompt: Column) -> Column:
+def strip_prompt_echo(generated: Column, prompt: Column, by_length: bool = False) -> Column:
     """Drop the prompt a model repeated before its answer, then strip.
 
     The text is cut only if it really starts with the prompt, so an answer
-    without an echo, or after a shortened one, keeps all its characters.
+    without an echo, or after a shortened one, keeps all its characters. With
+    ``by_length`` as many characters as the prompt has are cut in any case.
     """
     rest = F.substr(generated, F.length(prompt) + 1)
+    if by_length:
+        return strip(rest)
     return strip(F.when(F.startswith(generated, prompt), rest).otherwise(generated))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from patchloom import schemas
@@ -15,35 +15,39 @@ from patchloom.session import shared_folder
 
 def write_dataset(
     df: DataFrame, path: str, format: str = "json", mode: str = "errorifexists"
-) -> None:
-    """JSON Lines or Parquet."""
+) -> int:
+    """Write JSON Lines or Parquet; returns the number of rows.
+
+    The rows are counted while they are written, in the same job.
+    """
     if format not in ("json", "parquet"):
         raise ValueError(f"unknown format: {format}")
-    writer = df.write.mode(mode)
+    written = Observation()
+    writer = df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode(mode)
     if format == "json":
         writer.option("ignoreNullFields", False).json(path)
     else:
         writer.parquet(path)
+    return written.get["rows"]
 
 
 def write_preference_pairs(
     pairs: DataFrame, path: str, format: str = "json", mode: str = "errorifexists"
-) -> None:
+) -> int:
     """``json``: pairs with their instance id as JSON Lines; ``dataset``: Parquet without it."""
     if format == "json":
-        write_dataset(pairs.select(*schemas.PREFERENCE_PAIR.names), path, "json", mode)
-    elif format == "dataset":
-        write_dataset(dpo(pairs), path, "parquet", mode)
-    else:
-        raise ValueError(f"unknown format: {format}")
+        return write_dataset(pairs.select(*schemas.PREFERENCE_PAIR.names), path, "json", mode)
+    if format == "dataset":
+        return write_dataset(dpo(pairs), path, "parquet", mode)
+    raise ValueError(f"unknown format: {format}")
 
 
-def write_predictions(predictions: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    write_dataset(predictions.select("instance_id", "patch"), path, "json", mode)
+def write_predictions(predictions: DataFrame, path: str, mode: str = "errorifexists") -> int:
+    return write_dataset(predictions.select("instance_id", "patch"), path, "json", mode)
 
 
-def write_submission(submission: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    write_dataset(submission.select(*schemas.SUBMISSION.names), path, "json", mode)
+def write_submission(submission: DataFrame, path: str, mode: str = "errorifexists") -> int:
+    return write_dataset(submission.select(*schemas.SUBMISSION.names), path, "json", mode)
 
 
 def write_patch_files(predictions: DataFrame, path: str, mode: str = "errorifexists") -> None:

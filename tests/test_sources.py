@@ -123,7 +123,7 @@ def test_dataset_formats(spark, tmp_path):
     df = spark.createDataFrame([("p", "c", "r", "i"), ("é\n", "c", None, "j")], schemas.PREFERENCE_PAIR)
     for name, format in [("a.json", "json"), ("a.parquet", "parquet")]:
         path = str(tmp_path / name)
-        writers.write_dataset(df, path, format)
+        assert writers.write_dataset(df.repartition(3), path, format) == 2
         assert rows(readers.read_preference_pairs(spark, path)) == rows(df)
     with pytest.raises(ValueError):
         writers.write_dataset(df, str(tmp_path / "b"), "csv")
@@ -159,7 +159,8 @@ def test_sft_examples(spark, tmp_path):
 
 def test_predictions_and_submission(spark, tmp_path):
     predictions = spark.createDataFrame(PAIRS, "instance_id string, patch string")
-    writers.write_predictions(predictions, str(tmp_path / "p"))
+    assert writers.write_predictions(predictions, str(tmp_path / "p")) == 2
+    assert writers.write_predictions(predictions.limit(0), str(tmp_path / "none")) == 0
     assert values(readers.read_prediction_lines(spark, str(tmp_path / "p"))) == PAIRS
     writers.write_submission(pred.submission(predictions, predictions, "m"), str(tmp_path / "s"))
     got = readers.read_prediction_lines(spark, str(tmp_path / "s"))

@@ -67,6 +67,8 @@ def test_strip_prompt_echo(spark):
     )
     got = df.select(text.strip_prompt_echo(F.col("generated"), F.col("prompt"))).collect()
     assert [r[0] for r in got] == ["answer", "answer", "", "ask"]
+    cut = text.strip_prompt_echo(F.col("generated"), F.col("prompt"), by_length=True)
+    assert [r[0] for r in df.select(cut).collect()] == ["answer", "wer", "", ""]
 
 
 def test_preview_and_tail_count_characters(spark):
