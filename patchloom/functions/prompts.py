@@ -117,5 +117,6 @@ def short_prompt() -> Column:
 def negative_request(wording: str = "flaw_list") -> Column:
     """Request for a deliberately flawed patch, from the columns of an instance."""
     if wording not in NEGATIVE_REQUESTS:
-        raise ValueError(f"unknown wording {wording!r}, expected one of {sorted(NEGATIVE_REQUESTS)}")
+        known = sorted(NEGATIVE_REQUESTS)
+        raise ValueError(f"unknown wording {wording!r}, expected one of {known}")
     return render(NEGATIVE_REQUESTS[wording], prompt=sft_prompt())

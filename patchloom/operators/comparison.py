@@ -48,7 +48,8 @@ def summary(base: DataFrame, tuned: DataFrame) -> DataFrame:
             *[F.lit(0).alias(f"{other}_{name}") for name in one],
         )
 
-    names = [f"{run}_{name}" for run in ("base", "tuned") for name in ("rows", "resolved", "applied")]
+    counted = ("rows", "resolved", "applied")
+    names = [f"{run}_{name}" for run in ("base", "tuned") for name in counted]
     per_id = (
         tagged(base, "base")
         .unionByName(tagged(tuned, "tuned"))

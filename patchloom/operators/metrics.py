@@ -45,7 +45,7 @@ def global_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame
 
 
 def coverage(results: DataFrame, instances: DataFrame) -> DataFrame:
-    """Share of the instances that were evaluated at all: the rates' denominator leaves out the rest."""
+    """Share of the instances that were evaluated at all; the rates leave out the rest."""
     evaluated = results.agg(F.count_distinct("instance_id").alias("evaluated"))
     total = instances.agg(F.count_distinct("instance_id")).scalar()
     return evaluated.select(

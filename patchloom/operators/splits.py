@@ -16,7 +16,7 @@ COPIES_PER_BLOCK = 100_000
 
 
 def seeded_hash(key: Column, seed: int = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), key))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key, F.lit(""))))
 
 
 def hash_split(
@@ -54,27 +54,27 @@ def exact_split(
     """Add ``split``: exactly ``ceil(fraction · rows)`` rows are test, the lowest by hash.
 
     Up to ``min_rows`` rows there is no test side. Rows are ordered by the hash of
-    ``key`` (default: a fast one of the whole row), then by that of the whole row. No sort of
-    the table is needed to find the boundary: a count per hash prefix names the
-    prefix in which it lies, a count per full hash within that prefix the row. Exact
-    copies of that row are interchangeable; they are counted, and written out again
-    on both sides in the right numbers.
+    ``key`` (default: a fast one of the whole row), then by that of the whole row. No
+    sort of the table is needed to find the boundary: a count per hash prefix names
+    the prefix in which it lies, a count per full hash within that prefix the row.
+    Exact copies of that row are interchangeable; they are counted, and written out
+    again on both sides in the right numbers.
 
     With ``key_is_unique`` only the key is read to find the boundary and the table
     itself once; if the key repeats after all, the copies of one key may make the
     test side larger. ``df`` is scanned up to four times: store it first if it is
     costly.
     """
-    columns = df.columns
-    whole_row = F.to_json(F.struct(*columns))
-    if key:
-        first_hash = seeded_hash(F.col(key), seed)
-    else:
-        first_hash = F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0")
     if key_is_unique and not key:
         raise ValueError("key_is_unique needs a key")
+    columns = df.columns
+    fast_hash = F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0")
+    first_hash = seeded_hash(F.col(key), seed) if key else fast_hash
     prefix = F.left(first_hash, F.lit(PREFIX_CHARS))
-    full = first_hash if key_is_unique else F.concat(first_hash, seeded_hash(whole_row, seed))
+    full = first_hash
+    if not key_is_unique:
+        # JSON shortens timestamps, the fast hash may collide: both tell rows apart.
+        full = F.concat(first_hash, fast_hash, seeded_hash(F.to_json(F.struct(*columns)), seed))
 
     total = F.sum("n").over(Window.partitionBy())
     k = F.when(total > min_rows, F.ceil(total * F.lit(fraction))).otherwise(F.lit(0))
@@ -121,13 +121,17 @@ def exact_split(
 
 
 def _repeat(df: DataFrame, times: Column) -> DataFrame:
-    """Each row ``times`` times, in blocks that are spread over the tasks first."""
+    """Each row ``times`` times, in blocks that are spread over the tasks first.
+
+    The number of tasks is given, since few rows become many only after the shuffle.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.ceil(times / F.lit(COPIES_PER_BLOCK)).cast("int")
     in_block = F.least(times - F.col("_block") * COPIES_PER_BLOCK, F.lit(COPIES_PER_BLOCK))
     return (
         df.where(times > 0)
         .withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .repartition("_block")
+        .repartition(tasks, "_block")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), in_block.cast("int"))))
         .drop("_block", "_copy")
     )

@@ -207,7 +207,8 @@ def diff_lines(spark, sf):
 @query
 def diff_line_counts(spark, sf):
     counts = diff.changed_counts(F.col("patch")).alias("counts")
-    return corpus.instances(spark, sf).select("instance_id", counts).select("instance_id", "counts.*")
+    counted = corpus.instances(spark, sf).select("instance_id", counts)
+    return counted.select("instance_id", "counts.*")
 
 
 @query

@@ -50,3 +50,19 @@ def test_seed_changes_members(spark):
 def test_hash_split_share(spark):
     df = spark.range(5000).selectExpr("concat('i', id) AS instance_id")
     assert 400 < sizes(hash_split(df))["test"] < 600
+
+
+def test_null_keys_and_near_copies(spark):
+    df = spark.range(800).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN NULL ELSE concat('i', id) END AS instance_id",
+        "timestamp_micros(id % 5) AS v",
+    )
+    for got in (exact_split(df, "instance_id"), exact_split(df)):
+        assert sizes(got) == {"test": 80, "train": 720}
+        assert rows(got.drop("split")) == rows(df)
+    assert hash_split(df).count() == 800
+
+
+def test_unique_needs_a_key(spark):
+    with pytest.raises(ValueError):
+        exact_split(spark.range(3), key_is_unique=True)
