@@ -30,6 +30,18 @@ def generate(
         [*df.schema.fields, StructField(output, StringType()), StructField("error", StringType())]
     )
 
+    def checked(text):
+        # What Arrow could not carry back would fail the whole batch.
+        if text is not None:
+            if not isinstance(text, str):
+                raise TypeError(f"generator returned {type(text).__name__}, not text")
+            text.encode("utf-8")
+        return text
+
+    def message(error: Exception) -> str:
+        found = str(error) or type(error).__name__
+        return found.encode("utf-8", "replace").decode("utf-8")
+
     def answer(batches: Iterator) -> Iterator:
         call = make_generator()
         for batch in batches:
@@ -37,11 +49,11 @@ def generate(
             given = [batch[name] for name in wanted]
             for text, *values in zip(batch[prompt], *given):
                 try:
-                    answers.append(call(text, **dict(zip(wanted, values))))
+                    answers.append(checked(call(text, **dict(zip(wanted, values)))))
                     errors.append(None)
                 except Exception as error:
                     answers.append("")
-                    errors.append(str(error) or type(error).__name__)
+                    errors.append(message(error))
             yield batch.assign(**{output: answers, "error": errors})
 
     spread = df if partitions is None else df.repartition(partitions)

@@ -128,7 +128,7 @@ def synthetic(
     answered = generate(
         asked, make_generator, prompt="request", options=["temperature"],
         output="response", partitions=partitions,
-    ).where(F.col("error").isNull())
+    ).where("error IS NULL AND response IS NOT NULL")
     answered = answered.withColumn("rejected", strip(F.col("response")))
     if drop_equal:
         answered = answered.where(F.col("rejected") != F.col("patch"))

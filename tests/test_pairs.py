@@ -163,3 +163,16 @@ def test_generate_keeps_going_and_loads_once_per_task(spark):
     assert generation.summary(generation.generate(df, make)).first().asDict() == {
         "processed": 20, "successful": 15, "failed": 5,
     }
+
+
+def test_answers_that_are_not_text_fail_their_row_only(spark):
+    df = spark.range(4).selectExpr("concat('i', id) AS instance_id", "string(id) AS prompt")
+
+    def make():
+        return lambda prompt: {"0": 5, "1": "\ud800", "2": None}.get(prompt, "fine")
+
+    got = {r.prompt: (r.patch, r.error) for r in generation.generate(df, make).collect()}
+    assert got["0"] == ("", "generator returned int, not text")
+    assert got["1"][0] == "" and "surrogates" in got["1"][1]
+    assert got["2"] == (None, None) and got["3"] == ("fine", None)
+    assert tuple(generation.summary(generation.generate(df, make)).first()) == (4, 1, 3)
