@@ -60,6 +60,16 @@ RESULT = StructType(
     ]
 )
 
+# What a result that leaves a field out means by it; the others stay NULL.
+RESULT_DEFAULTS = {
+    "tests_passed": 0,
+    "tests_failed": 0,
+    "tests_error": 0,
+    "patch_applied": True,
+    "execution_time": 0.0,
+    "logs": "",
+}
+
 METRICS = StructType(
     [
         StructField("total_instances", LongType()),

@@ -116,9 +116,9 @@ def read_prediction_object(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Results out of result bundles; a bundle without results has none."""
+    """Results out of result bundles, defaults filled in; a bundle without any has none."""
     bundle = _json(spark, path, schemas.BUNDLE, array=True)
-    return bundle.select(F.inline("results"))
+    return bundle.select(F.inline("results")).na.fill(schemas.RESULT_DEFAULTS)
 
 
 def read_bundle_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -15,11 +15,12 @@ from patchloom.session import shared_folder
 def result_stream(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Results from JSON Lines files dropped into ``path``, each file read once."""
+    """Results from JSON Lines files dropped into ``path``, each file read once, with
+    defaults filled in."""
     reader = spark.readStream.schema(schemas.RESULT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.json(path)
+    return reader.json(path).na.fill(schemas.RESULT_DEFAULTS)
 
 
 def running_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -111,7 +111,10 @@ def test_results_and_metrics_out_of_a_bundle(spark, put):
     result = {"instance_id": "a", "passed": True, "execution_time": 1.5, "logs": "x"}
     path = put("r.json", {"config": {"x": 1}, "metrics": {"resolved": 1}, "results": [result]})
     got = readers.read_results(spark, path)
-    assert got.schema == schemas.RESULT
+    assert [(f.name, f.dataType) for f in got.schema] == [
+        (f.name, f.dataType) for f in schemas.RESULT
+    ]
+    assert rows(got.select("tests_passed", "patch_applied")) == [(0, True)]
     assert rows(got.select("instance_id", "passed", "execution_time", "error_message")) == [
         ("a", True, 1.5, None)
     ]
