@@ -29,7 +29,7 @@ END_ID = 1
 CLASSES = 64
 MOST = 3
 #: Rows of one length that are ranked in one task.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 1_000
 
 
 def patterns(classes: int = CLASSES, most: int = MOST) -> list[tuple[int, ...]]:
@@ -211,10 +211,7 @@ def pack(rows: DataFrame, order: list[str], length: str = "length", limit: int =
         counts[row[0]] = row[1]
     schema = "_length long, _first long, _end long, _sequence long, offset long"
     table = F.broadcast(spark.createDataFrame(places(plan(counts, limit)), schema))
-    many = [int(n) for n in np.flatnonzero(counts > RANKED_TOGETHER)]
-    parts = F.lit(1)
-    for n in many:  # at most total / RANKED_TOGETHER, and at most ``limit``, lengths
-        parts = F.when(F.col(length) == n, F.lit(int(counts[n]) // RANKED_TOGETHER + 1)).otherwise(parts)
+    parts = F.get(F.lit([int(c) // RANKED_TOGETHER + 1 for c in counts]), F.col(length).cast("int"))
     bucket = F.pmod(F.xxhash64(*order), parts)
     ranked = positions(rows, [length], bucket, order, "_rank").drop("_rank_total")
     at = (F.col(length) == F.col("_length")) & (F.col("_rank") >= F.col("_first"))
