@@ -7,7 +7,12 @@ frequent token would bring together too many documents, so such tokens are split
 sub-classes and every combination of k tokens of a sub-class is indexed instead; each
 sub-class may then hide k - 1 shared tokens, for which the prefix is extended. A token
 that only one set holds counts towards the prefix but is never indexed, so a document
-that is mostly its own gets no index entry at all. Candidates are verified on whole sets.
+that is mostly its own gets no index entry at all.
+
+Larger sets take their prefix from a share of the tokens. Documents that share an entry are
+then looked at in full: tokens that no other of them holds are counted, and two documents
+whose own tokens alone keep them apart are no candidates. What is left is verified on whole
+sets.
 """
 
 from __future__ import annotations
@@ -30,11 +35,11 @@ PAIRS_FROM, TRIPLES_FROM = 8, 256
 #: Sets smaller than this use single tokens only.
 SINGLES_BELOW = 32
 #: Sets from this size on take their prefix from a hashed share of the tokens.
-SHARE_FROM = 256
+SHARE_FROM = 64
 #: A token in more than one of so many documents goes last, without being counted again:
 #: at most this many times the mean set size, so the list is bounded.
 HOT_SHARE = 128
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 _SCHEME_BITS = 63
 
 
@@ -255,6 +260,15 @@ def _emit_sets(size: int):
     return run
 
 
+def _emit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, len(batch), 1000):
+            part = batch.slice(start, 1000)
+            sets = [np.frombuffer(x, np.int64) for x in part.column("tokens").to_pylist()]
+            docs = np.repeat(part.column("doc").to_numpy(), [len(x) for x in sets])
+            yield pa.record_batch([np.concatenate(sets), docs], ["tok", "doc"])
+
+
 def _verify(t: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,12 +290,25 @@ def _links(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return store(both.mapInArrow(_verify(t), "a long, b long"))
 
 
+def _own_tokens(sets: DataFrame, t: Threshold) -> DataFrame:
+    """(doc, n, own) of the documents of ``sets`` that can have a link at all.
+
+    ``own`` is the number of a document's tokens that no other document here holds.
+    """
+    rows = sets.mapInArrow(_emit_all, "tok long, doc long")
+    holders = rows.groupBy("tok").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
+    own = holders.where("doc = last").groupBy("doc").agg(F.count(F.lit(1)).alias("own"))
+    sizes = sets.select("doc", (F.octet_length("tokens") / 8).cast("long").alias("n"))
+    counted = sizes.join(own, "doc", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return counted.where(F.col("own") * t.den <= F.col("n") * (t.den - t.num))
+
+
 def _connect(shared: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """(node, component) of documents with a link, from index entries (sig, doc, n).
+    """(node, component) of documents with a link, from index entries (sig, doc, n, own).
 
-    An entry's documents are first compared with one of them, its hub. Documents that
-    are then in one component need no further comparison with each other; what is left
-    after some rounds is compared in full.
+    An entry's documents are first compared with the one that has the fewest tokens of
+    its own, the hub. Documents that are then in one component need no comparison with
+    each other; the others are compared in full.
     """
     spark = shared.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -292,23 +319,24 @@ def _connect(shared: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
         else:
             labelled = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left")
             open_ = labelled.withColumn("label", F.coalesce("component", "doc")).drop("component")
-        order = F.struct(F.when(F.lit(turn) > 0, F.xxhash64(F.lit(turn), "doc")), F.col("doc"))
         hubs = open_.groupBy("sig").agg(
             F.min("label").alias("low"),
             F.max("label").alias("high"),
-            F.min_by(F.struct("doc", "label", "n"), order).alias("hub"),
+            F.min(F.struct("own", "doc", "label", "n")).alias("o"),
         )
-        hubs = hubs.where("low <> high").drop("low", "high")
+        hubs = hubs.where("low <> high")
         if turn < HUB_ROUNDS:
-            near = open_.join(hubs, "sig").where(F.col("label") != F.col("hub.label"))
-            other, other_n = F.col("hub.doc"), F.col("hub.n")
+            hubs = hubs.select("sig", *(F.col(f"o.{c}").alias(f"o_{c}") for c in ("doc", "n", "own", "label")))
+            near = open_.join(hubs, "sig").where("label <> o_label")
         else:
             left = open_.join(hubs.select("sig"), "sig")
-            right = left.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("doc", "n", "label")))
+            right = left.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("doc", "n", "own", "label")))
             near = left.join(right, "sig").where("doc < o_doc and label <> o_label")
-            other, other_n = F.col("o_doc"), F.col("o_n")
-        near = near.where(F.greatest("n", other_n) * t.num <= F.least("n", other_n) * t.den)
-        pairs = near.select(F.greatest("doc", other).alias("a"), F.least("doc", other).alias("b"))
+        near = near.where(F.greatest("n", "o_n") * t.num <= F.least("n", "o_n") * t.den)
+        # Two sets differ in their own tokens at least; a similar pair cannot in more.
+        apart = (F.col("own") + F.col("o_own")) * (t.den + t.num)
+        near = near.where(apart <= (F.col("n") + F.col("o_n")) * (t.den - t.num))
+        pairs = near.select(F.greatest("doc", "o_doc").alias("a"), F.least("doc", "o_doc").alias("b"))
         new = _links(pairs.distinct(), sets, t)
         if new.isEmpty():
             continue
@@ -367,13 +395,15 @@ def similar_documents(
     sigs = store(sigs)
     several = sigs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = sigs.join(several.where("low <> high").select("sig"), "sig")
-    by_node = reps.select(F.col("fp1").alias("node"), "doc", F.col("n_shingles").alias("n"))
-    shared = store(shared.join(by_node, "node").select("sig", "doc", "n"))
+    by_node = reps.select(F.col("fp1").alias("node"), "doc")
+    shared = store(shared.join(by_node, "node").select("sig", "doc"))
 
     wanted = shared.select("doc").distinct()
     wanted = wanted.join(by_node, "doc").select(F.col("doc").alias("doc_id"), "node")
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "node")
     token_sets = store(texts.mapInArrow(_emit_sets(size), "doc long, tokens binary").distinct())
+    able = store(_own_tokens(token_sets, t))
+    shared = store(shared.join(able, "doc"))
     found = _connect(shared, token_sets, t)
 
     named = described.select("doc_id", *key).join(reps, key, "left")
