@@ -12,7 +12,7 @@ OP1 = f"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(string_split_regex(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '{_BLANK}+'), w -> w <> '') AS w
+        '{_BLANK}+'), lambda w: w <> '') AS w
     FROM documents
 ), sets AS (
     SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
