@@ -330,12 +330,17 @@ def _connect(shared: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
             near = open_.join(hubs, "sig").where("label <> o_label")
         else:
             left = open_.join(hubs.select("sig"), "sig")
-            right = left.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("doc", "n", "own", "label")))
+            entries = left.groupBy("doc").agg(F.collect_list("sig").alias("sigs"))
+            left = left.join(entries, "doc")
+            sides = ("doc", "n", "own", "label", "sigs")
+            right = left.select("sig", *(F.col(c).alias(f"o_{c}") for c in sides))
             near = left.join(right, "sig").where("doc < o_doc and label <> o_label")
         near = near.where(F.greatest("n", "o_n") * t.num <= F.least("n", "o_n") * t.den)
         # Two sets differ in their own tokens at least; a similar pair cannot in more.
         apart = (F.col("own") + F.col("o_own")) * (t.den + t.num)
         near = near.where(apart <= (F.col("n") + F.col("o_n")) * (t.den - t.num))
+        if turn == HUB_ROUNDS:  # a pair is made once: by its least common entry
+            near = near.where(F.array_min(F.array_intersect("sigs", "o_sigs")) == F.col("sig"))
         pairs = near.select(F.greatest("doc", "o_doc").alias("a"), F.least("doc", "o_doc").alias("b"))
         new = _links(pairs.distinct(), sets, t)
         if new.isEmpty():
