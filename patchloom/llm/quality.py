@@ -1,6 +1,6 @@
 """Quality rules: counts per text, and a calibrated logistic regression over hashed n-grams.
 
-Features are words, word pairs and runs of 3 and 5 bytes, hashed to 2^16 places; each of
+Features are words, word pairs and runs of 3 and 5 bytes, hashed to 2^15 places; each of
 the four groups adds up to one per text, so long texts weigh as much as short ones. The
 regression is trained on labelled documents and its score turned into a probability on
 others of them (Platt's method). Texts are scored in Arrow batches with fixed thresholds.
@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from patchloom.llm.common import store
 from patchloom.llm.words import SPACE, Block, blocks, mix, windows
 
-BITS = 16
+BITS = 15
 #: At most so many labelled documents are used, those with the lowest hash of their id;
 #: three quarters train the regression, the rest calibrates it.
-SAMPLE = 6_000
+SAMPLE = 3_000
 #: A document is kept if the probability of good quality is at least this.
 KEEP_FROM = 0.5
 LEAST_WORDS = 50
+#: Texts are looked at in blocks of about so many bytes.
+BLOCK = 1 << 20
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 GROUPS = 4
@@ -53,7 +55,7 @@ def _features(block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, block in blocks(batch.column(2)):
+        for first, block in blocks(batch.column(2), BLOCK):
             places = [[] for _ in range(block.rows)]
             values = [[] for _ in range(block.rows)]
             for group, found, at in _features(block):
@@ -109,13 +111,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     size = GROUPS << BITS
     vector = F.udf(lambda places, values: Vectors.sparse(size, places, values), VectorUDT())
     rows = rows.select("label", vector("places", "values").alias("features"), calibrates.alias("held"))
-    train, held = rows.where(~F.col("held")).cache(), rows.where("held")
+    train, held = rows.where(~F.col("held")), rows.where("held")
     if train.select("label").distinct().count() < 2:
-        train.unpersist()
         return None
-    learner = LogisticRegression(regParam=1e-4, maxIter=40, standardization=False)
+    learner = LogisticRegression(regParam=1e-4, maxIter=25, standardization=False)
     fitted = learner.fit(train)
-    train.unpersist()
     model = Model(fitted.coefficients.toArray().reshape(GROUPS, 1 << BITS), fitted.intercept)
     as_vector = F.udf(lambda raw: Vectors.dense([raw[1]]), VectorUDT())
     scored = fitted.transform(held).select("label", as_vector("rawPrediction").alias("features"))
@@ -159,7 +159,7 @@ def _rules(model: Model | None, keep_from: float, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text")
-            for first, block in blocks(texts):
+            for first, block in blocks(texts, BLOCK):
                 starts, ends, bounds = block.words()
                 n_words = np.diff(bounds)
                 points = ~SPACE[block.data] & ((block.data & 0xC0) != 0x80)
