@@ -57,7 +57,8 @@ def per_repo(results: DataFrame, instances: DataFrame | None = None) -> DataFram
     """Total, resolved and rate per repository, by name.
 
     The repository is read off the id unless ``instances`` are given to look it up
-    in, which is right for owners and names with hyphens too.
+    in, which is right for owners and names with hyphens too. A result whose id no
+    instance has counts under the repository read off its id.
     """
     if instances is None:
         keyed = results.select(repo_from_id(F.col("instance_id")).alias("repo"), "passed")
@@ -66,7 +67,10 @@ def per_repo(results: DataFrame, instances: DataFrame | None = None) -> DataFram
             results.select("instance_id", "passed"),
             instances.select("instance_id", "repo"),
             "instance_id",
+            "left",
         )
+        known = F.coalesce("repo", repo_from_id(F.col("instance_id")))
+        keyed = keyed.withColumn("repo", known)
     total = F.count(F.lit(1))
     resolved = F.count_if("passed")
     return (

@@ -44,6 +44,7 @@ def from_outcomes(
         instances.select("instance_id", "repo", "problem_statement", "patch"),
         [(candidates, "inner"), (unique(results.select(*known)), "left")],
         "instance_id",
+        fact_is_unique=True,
     ).where(~F.coalesce(F.col("passed"), F.lit(not missing_is_failure)))
     if drop_equal:
         joined = joined.where(F.col("rejected") != F.col("patch"))
@@ -144,7 +145,7 @@ def pass_fail(instances: DataFrame, candidates: DataFrame) -> DataFrame:
     chosen = (
         candidates.where(F.col("passed"))
         .groupBy("instance_id")
-        .agg(F.min_by("patch", "attempt").alias("chosen"))
+        .agg(F.min_by("patch", F.struct("attempt", "patch")).alias("chosen"))
     )
     issues = instances.select("instance_id", "repo", "problem_statement")
     failing = candidates.where(~F.col("passed")).select(

@@ -43,7 +43,7 @@ def gold(instances: DataFrame) -> DataFrame:
 def with_predictions(instances: DataFrame, predictions: DataFrame) -> DataFrame:
     """Instances whose id has a prediction, an empty one included."""
     ids = predictions.select("instance_id").distinct()
-    return lookup_join(instances, ids, "instance_id", "left_semi")
+    return lookup_join(instances, ids, "instance_id", "left_semi", fact_is_unique=True)
 
 
 def worklist(instances: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -51,13 +51,14 @@ def worklist(instances: DataFrame, predictions: DataFrame) -> DataFrame:
     patches = nonempty(unique(predictions)).select(
         "instance_id", F.col("patch").alias("model_patch")
     )
-    return lookup_join(instances, patches, "instance_id")
+    return lookup_join(instances, patches, "instance_id", fact_is_unique=True)
 
 
 def submission(instances: DataFrame, predictions: DataFrame, model_name: str) -> DataFrame:
     """Submission rows for the instances that have a prediction."""
     patches = unique(predictions).select("instance_id", F.col("patch").alias("model_patch"))
-    return lookup_join(instances.select("instance_id"), patches, "instance_id").select(
+    ids = instances.select("instance_id")
+    return lookup_join(ids, patches, "instance_id", fact_is_unique=True).select(
         "instance_id", "model_patch", F.lit(model_name).alias("model_name_or_path")
     )
 

@@ -26,8 +26,12 @@ def hash_split(
 
     Looks at one row at a time; copies of a key fall on the same side.
     """
-    threshold = f"{int(fraction * 2**32):08x}"
-    low = F.left(seeded_hash(F.col(key), seed), F.lit(8)) < threshold
+    if not 0 <= fraction <= 1:
+        raise ValueError(f"fraction must be from 0 to 1: {fraction}")
+    # Nine digits, so that a fraction of 1 is above every hash.
+    threshold = f"{int(fraction * 2**32):09x}"
+    start = F.concat(F.lit("0"), F.left(seeded_hash(F.col(key), seed), F.lit(8)))
+    low = start < threshold
     return df.withColumn("split", F.when(low, F.lit("test")).otherwise(F.lit("train")))
 
 

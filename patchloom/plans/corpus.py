@@ -58,9 +58,8 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have labels, with what outcomes are made from."""
-    return lookup_join(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id"
-    )
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return lookup_join(documents, labels, "doc_id", fact_is_unique=True)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,10 +115,24 @@ def read_prediction_object(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Results out of result bundles, defaults filled in; a bundle without any has none."""
+def read_results(spark: SparkSession, path: str, last_wins: bool = False) -> DataFrame:
+    """Results out of result bundles, defaults filled in; a bundle without any has none.
+
+    With ``last_wins`` an id that occurs several times has its last result only, by file
+    name and place in the bundle. A bundle is one row, as its format has it: write large
+    runs as datasets.
+    """
     bundle = _json(spark, path, schemas.BUNDLE, array=True)
-    return bundle.select(F.inline("results")).na.fill(schemas.RESULT_DEFAULTS)
+    if not last_wins:
+        return bundle.select(F.inline("results")).na.fill(schemas.RESULT_DEFAULTS)
+    placed = bundle.select(
+        F.col("_metadata.file_path").alias("file"), F.posexplode("results").alias("at", "result")
+    )
+    placed = placed.select("result.*", F.struct("file", "at").alias("pos"))
+    columns = schemas.RESULT.names
+    last = F.max_by(F.struct(*columns), "pos").alias("last")
+    found = placed.groupBy("instance_id").agg(last).select("last.*")
+    return found.na.fill(schemas.RESULT_DEFAULTS)
 
 
 def read_bundle_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -142,15 +156,17 @@ def read_preference_pairs(spark: SparkSession, path: str, array: bool = False) -
 def read_training_pairs(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
     """Pairs for training: the columns prompt, chosen and rejected must be in the data.
 
-    Parquet files are asked for their columns, JSON for those of its first record.
+    Parquet files are asked for their columns. JSON is read once for them: a column
+    that no record has a value for is missing.
     """
     required = ["prompt", "chosen", "rejected"]
     if path.endswith(".parquet"):
         return require_columns(spark.read.parquet(path), required)
     pairs = read_preference_pairs(spark, path, array)
-    record = pairs.first()
-    if record is not None:
-        require_columns(pairs.select(*[n for n in required if record[n] is not None]), required)
+    counts = [F.count(n).alias(n) for n in required]
+    seen = pairs.agg(F.count(F.lit(1)).alias("rows"), *counts).first()
+    if seen["rows"]:
+        require_columns(pairs.select(*[n for n in required if seen[n]]), required)
     return pairs
 
 

@@ -16,8 +16,8 @@ def result_stream(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
     """Results from JSON Lines files dropped into ``path``, each file read once, with
-    defaults filled in."""
-    reader = spark.readStream.schema(schemas.RESULT)
+    defaults filled in. A damaged line ends the stream."""
+    reader = spark.readStream.schema(schemas.RESULT).option("mode", "FAILFAST")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.json(path).na.fill(schemas.RESULT_DEFAULTS)

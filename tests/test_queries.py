@@ -4,10 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from patchloom.plans import oracle
+from patchloom.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ["documents", "labels", "conversations", "events"]
-SQL = entry.oracle_sql()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,9 @@ def duck():
 
 
 def test_same_names():
-    assert set(SQL) == set(entry.queries())
+    assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
