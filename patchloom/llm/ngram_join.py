@@ -303,6 +303,21 @@ def _own_tokens(sets: DataFrame, t: Threshold) -> DataFrame:
     return counted.where(F.col("own") * t.den <= F.col("n") * (t.den - t.num))
 
 
+def _different_entries(entries: DataFrame, doc: str) -> DataFrame:
+    """The entries (sig, ``doc``) of several documents; of those with the same documents, one.
+
+    Near copies share most of their entries, which would all bring the same pairs together.
+    """
+    held = entries.groupBy("sig").agg(
+        F.min(doc).alias("low"),
+        F.max(doc).alias("high"),
+        F.count(F.lit(1)).alias("times"),
+        *(F.bit_xor(F.xxhash64(F.lit(seed), doc)).alias(f"xor{seed}") for seed in (1, 2)),
+    )
+    chosen = held.where("low <> high").groupBy("low", "high", "times", "xor1", "xor2").agg(F.min("sig").alias("sig"))
+    return entries.join(chosen.select("sig"), "sig")
+
+
 def _connect(shared: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     """(node, component) of documents with a link, from index entries (sig, doc, n, own).
 
@@ -398,8 +413,7 @@ def similar_documents(
     )
     sigs = sets.mapInArrow(_emit_signatures(t), "sig long, node long")
     sigs = store(sigs)
-    several = sigs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = sigs.join(several.where("low <> high").select("sig"), "sig")
+    shared = _different_entries(sigs, "node")
     by_node = reps.select(F.col("fp1").alias("node"), "doc")
     shared = store(shared.join(by_node, "node").select("sig", "doc"))
 
@@ -408,7 +422,7 @@ def similar_documents(
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "node")
     token_sets = store(texts.mapInArrow(_emit_sets(size), "doc long, tokens binary").distinct())
     able = store(_own_tokens(token_sets, t))
-    shared = store(shared.join(able, "doc"))
+    shared = store(_different_entries(store(shared.join(able, "doc")), "doc"))
     found = _connect(shared, token_sets, t)
 
     named = described.select("doc_id", *key).join(reps, key, "left")
