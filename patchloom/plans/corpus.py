@@ -79,6 +79,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def untested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prediction for each instance without a label, hence without a result."""
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    rest = table(spark, sf_dir, "documents").join(labels, "doc_id", "left_anti")
+    return rest.selectExpr(INSTANCE_ID, "concat('untested ', doc_id) AS patch")
+
+
 def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions as read from files: an early wrong one, then the one that counts."""
     return predictions(spark, sf_dir).selectExpr(

@@ -146,21 +146,24 @@ TABLES["rule_pairs"] = (
 )
 
 
-def _eval_pairs(default: str, known: str) -> str:
+def _eval_pairs(default: str, predicted: str = "predictions") -> str:
     return f"""
         SELECT {SFT_PROMPT} AS prompt, i.patch AS chosen, p.patch AS rejected, instance_id,
           'evaluation' AS strategy
         FROM instances i
-          JOIN (SELECT instance_id, patch FROM predictions) p USING (instance_id)
-          LEFT JOIN (SELECT instance_id, passed FROM results WHERE {known}) r USING (instance_id)
+          JOIN (SELECT instance_id, patch FROM {predicted}) p USING (instance_id)
+          LEFT JOIN (SELECT instance_id, passed FROM results) r USING (instance_id)
         WHERE NOT coalesce(passed, {default})"""
 
 
 # The prompt only needs these columns, and `patch` would be ambiguous in joins.
+_UNTESTED = """(SELECT instance_id, patch FROM predictions UNION ALL
+            SELECT instance_id, 'untested ' || doc_id FROM instances
+            WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL))"""
 _EVAL = {
-    "strict": _eval_pairs("true", "coalesce(error_message, '') <> 'Docker daemon'"),
-    "lenient": _eval_pairs("false", "coalesce(error_message, '') <> 'Docker daemon'"),
-    "all": _eval_pairs("false", "true"),
+    "strict": _eval_pairs("true", _UNTESTED),
+    "lenient": _eval_pairs("false", _UNTESTED),
+    "all": _eval_pairs("false"),
 }
 _EVAL = {k: v.replace("|| patch ||", "|| i.patch ||") for k, v in _EVAL.items()}
 

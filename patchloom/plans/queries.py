@@ -240,10 +240,11 @@ def pairs_rule_based(spark, sf):
 
 
 def _outcome_pairs(spark, sf, missing_is_failure):
-    # Runs the container daemon lost have no result, so that the two defaults differ.
-    known = corpus.results(spark, sf).where("coalesce(error_message, '') <> 'Docker daemon'")
+    # Instances without a label have no result, so that the two defaults differ.
+    found = corpus.predictions(spark, sf).select("instance_id", "patch")
+    found = found.unionByName(corpus.untested(spark, sf))
     return pairs.from_outcomes(
-        corpus.instances(spark, sf), corpus.predictions(spark, sf), known, missing_is_failure
+        corpus.instances(spark, sf), found, corpus.results(spark, sf), missing_is_failure
     )
 
 
