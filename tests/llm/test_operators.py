@@ -93,6 +93,15 @@ def test_ngram_join_null_id_and_empty_table(spark):
     assert ngram_join.similar_documents(table(spark, [])).count() == 0
 
 
+def test_entries_of_the_same_documents_are_kept_once(spark):
+    held = {1: {7, 8}, 2: {7, 8}, 3: {7, 8, 9}, 4: {9}, 5: {7, 9}, 6: {7, 8, 9}}
+    rows = [(sig, doc) for sig, docs in held.items() for doc in docs]
+    entries = spark.createDataFrame(rows, "sig long, doc long")
+    got = {tuple(r) for r in ngram_join._different_entries(entries, "doc").select("sig", "doc").collect()}
+    assert got == {(s, d) for s in (1, 3, 5) for d in held[s]}
+    assert ngram_join._different_entries(entries.limit(0), "doc").count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 80)], "a long, b long")
     got = {r[0]: r[1] for r in components(links).collect()}
