@@ -13,8 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +27,7 @@ SAMPLE = 3_000
 KEEP_FROM = 0.5
 LEAST_WORDS = 50
 #: Texts are looked at in blocks of about so many bytes.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 GROUPS = 4
@@ -100,6 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     ``docs`` has doc_id and text. Rows with a null id, text or label are left out; an id
     that is labelled several times takes its smallest label.
     """
+    # Only the fit needs these; scoring workers stay without them.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
     known = labels.where("doc_id is not null and quality in (0, 1)")
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
@@ -117,8 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     learner = LogisticRegression(regParam=1e-4, maxIter=25, standardization=False)
     fitted = learner.fit(train)
     model = Model(fitted.coefficients.toArray().reshape(GROUPS, 1 << BITS), fitted.intercept)
-    as_vector = F.udf(lambda raw: Vectors.dense([raw[1]]), VectorUDT())
-    scored = fitted.transform(held).select("label", as_vector("rawPrediction").alias("features"))
+    score = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
+    scored = fitted.transform(held).select("label", score.alias("features"))
     if scored.select("label").distinct().count() == 2:
         platt = LogisticRegression(maxIter=40).fit(scored)
         model.slope, model.offset = float(platt.coefficients[0]), float(platt.intercept)
@@ -155,10 +158,10 @@ def _repeated_words(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.bincount(text[marked], minlength=len(lengths))
 
 
-def _rules(model: Model | None, keep_from: float, least_words: int):
+def _rules(model: Model | None, keep_from: float, least_words: int, text_col: str, returned: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(text_col)
             for first, block in blocks(texts, BLOCK):
                 starts, ends, bounds = block.words()
                 n_words = np.diff(bounds)
@@ -172,7 +175,7 @@ def _rules(model: Model | None, keep_from: float, least_words: int):
                 failed = (n_words < least_words) | (100 * repeated > 50 * n_words)
                 good = model.probability(block) if model else np.ones(block.rows)
                 part = batch.slice(first, block.rows)
-                columns = {n: part.column(n) for n in part.schema.names if n != "_text"}
+                columns = {n: part.column(n) for n in returned}
                 yield pa.record_batch(
                     columns
                     | {
@@ -198,14 +201,17 @@ ADDED = (
 
 def judge(
     docs: DataFrame, model: Model | None, text_col: str = "text",
-    keep_from: float = KEEP_FROM, least_words: int = LEAST_WORDS,
+    keep_from: float = KEEP_FROM, least_words: int = LEAST_WORDS, with_text: bool = True,
 ) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, the probability ``good`` and ``kept``.
 
     A null text has no words and fails. Without a model only the counts decide. Columns
-    that have the name of an added one are replaced; no row is moved.
+    that have the name of an added one are replaced; no row is moved. ``with_text=False``
+    leaves the text column out of the result, so that texts are not sent back.
     """
-    names = [part.split()[0] for part in ADDED.split(", ")]
-    rows = docs.withColumn("_text", F.col(text_col)).drop(*names)
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
-    return rows.mapInArrow(_rules(model, keep_from, least_words), ", ".join([*types, ADDED]))
+    added = {part.split()[0] for part in ADDED.split(", ")}
+    kept = [f for f in docs.schema if f.name not in added and (with_text or f.name != text_col)]
+    rows = docs.select(*(F.col(f"`{f.name}`") for f in docs.schema if f.name not in added or f.name == text_col))
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+    run = _rules(model, keep_from, least_words, text_col, [f.name for f in kept])
+    return rows.mapInArrow(run, ", ".join([*types, ADDED]))

@@ -137,7 +137,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model).drop("text")
+    return quality.judge(docs, model, with_text=False)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

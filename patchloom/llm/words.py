@@ -39,7 +39,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, size: int) -> np.ndarray:
     table = _powers.get(base)
     if table is None or len(table) < size:
-        factors = np.full(max(size, BLOCK_BYTES + 1), base, dtype=np.uint64)
+        factors = np.full(max(1 << size.bit_length(), 1 << 16), base, dtype=np.uint64)
         factors[0] = 1
         table = np.cumprod(factors, dtype=np.uint64)
         if size <= 4 * BLOCK_BYTES:
