@@ -11,14 +11,16 @@ that is mostly its own gets no index entry at all.
 
 Larger sets take their prefix from a share of the tokens. Documents that share an entry are
 then looked at in full: tokens that no other of them holds are counted, and two documents
-whose own tokens alone keep them apart are no candidates. What is left is verified on whole
-sets.
+whose own tokens alone keep them apart are no candidates, nor are those whose parity sketches
+differ in more places than similar sets can. What is left is verified on whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ SHARE_FROM = 64
 #: at most this many times the mean set size, so the list is bounded.
 HOT_SHARE = 128
 HUB_ROUNDS = 1
+#: Bits of a set's parity sketch, in whole words of 64.
+PARITY_WORDS = 16
 _SCHEME_BITS = 63
 
 
@@ -135,6 +139,16 @@ def signatures(tokens: list, meta: list, t: Threshold) -> np.ndarray:
     return np.unique(np.array(out, dtype=np.uint64)).view(np.int64)
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bit i tells if an odd number of the set's tokens hash to i.
+
+    Where two sketches differ, at least one token is in one of the two sets only.
+    """
+    bits = 64 * PARITY_WORDS
+    counts = np.bincount((mix(tokens) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,12 +264,19 @@ def _emit_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            docs, sets = [], []
+            docs, sets, sketches = [], [], [np.zeros(0, np.int64)]
             for i, tokens in shingle_sets(batch.column(1), size):
                 if len(tokens) and fingerprints(tokens)[0] == wanted[i]:
                     docs.append(ids[i])
                     sets.append(tokens.tobytes())
-            yield pa.record_batch({"doc": pa.array(docs, pa.int64()), "tokens": pa.array(sets, pa.binary())})
+                    sketches.append(parity(tokens))
+            at = pa.array(np.arange(len(docs) + 1) * PARITY_WORDS, pa.int32())
+            columns = {
+                "doc": pa.array(docs, pa.int64()),
+                "tokens": pa.array(sets, pa.binary()),
+                "parity": pa.ListArray.from_arrays(at, pa.array(np.concatenate(sketches))),
+            }
+            yield pa.record_batch(columns)
 
     return run
 
@@ -291,14 +312,14 @@ def _links(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 
 def _own_tokens(sets: DataFrame, t: Threshold) -> DataFrame:
-    """(doc, n, own) of the documents of ``sets`` that can have a link at all.
+    """(doc, n, own, parity) of the documents of ``sets`` that can have a link at all.
 
     ``own`` is the number of a document's tokens that no other document here holds.
     """
-    rows = sets.mapInArrow(_emit_all, "tok long, doc long")
+    rows = sets.select("doc", "tokens").mapInArrow(_emit_all, "tok long, doc long")
     holders = rows.groupBy("tok").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
     own = holders.where("doc = last").groupBy("doc").agg(F.count(F.lit(1)).alias("own"))
-    sizes = sets.select("doc", (F.octet_length("tokens") / 8).cast("long").alias("n"))
+    sizes = sets.select("doc", "parity", (F.octet_length("tokens") / 8).cast("long").alias("n"))
     counted = sizes.join(own, "doc", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     return counted.where(F.col("own") * t.den <= F.col("n") * (t.den - t.num))
 
@@ -319,15 +340,17 @@ def _different_entries(entries: DataFrame, doc: str) -> DataFrame:
 
 
 def _connect(shared: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """(node, component) of documents with a link, from index entries (sig, doc, n, own).
+    """(node, component) of documents with a link, from index entries (sig, doc, n, own, parity).
 
     An entry's documents are first compared with the one that has the fewest tokens of
     its own, the hub. Documents that are then in one component need no comparison with
-    each other; the others are compared in full.
+    each other; the others are compared in full, unless their sizes, own tokens or parity
+    sketches alone show that too many tokens differ.
     """
     spark = shared.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     found = None
+    sides = ("doc", "n", "own", "label", "parity")
     for turn in range(HUB_ROUNDS + 1):
         if found is None:
             open_ = shared.withColumn("label", F.col("doc"))
@@ -337,25 +360,23 @@ def _connect(shared: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
         hubs = open_.groupBy("sig").agg(
             F.min("label").alias("low"),
             F.max("label").alias("high"),
-            F.min(F.struct("own", "doc", "label", "n")).alias("o"),
+            F.min(F.struct("own", "doc", "label", "n", "parity")).alias("o"),
         )
         hubs = hubs.where("low <> high")
         if turn < HUB_ROUNDS:
-            hubs = hubs.select("sig", *(F.col(f"o.{c}").alias(f"o_{c}") for c in ("doc", "n", "own", "label")))
+            hubs = hubs.select("sig", *(F.col(f"o.{c}").alias(f"o_{c}") for c in sides))
             near = open_.join(hubs, "sig").where("label <> o_label")
         else:
             left = open_.join(hubs.select("sig"), "sig")
-            entries = left.groupBy("doc").agg(F.collect_list("sig").alias("sigs"))
-            left = left.join(entries, "doc")
-            sides = ("doc", "n", "own", "label", "sigs")
             right = left.select("sig", *(F.col(c).alias(f"o_{c}") for c in sides))
             near = left.join(right, "sig").where("doc < o_doc and label <> o_label")
         near = near.where(F.greatest("n", "o_n") * t.num <= F.least("n", "o_n") * t.den)
-        # Two sets differ in their own tokens at least; a similar pair cannot in more.
-        apart = (F.col("own") + F.col("o_own")) * (t.den + t.num)
-        near = near.where(apart <= (F.col("n") + F.col("o_n")) * (t.den - t.num))
-        if turn == HUB_ROUNDS:  # a pair is made once: by its least common entry
-            near = near.where(F.array_min(F.array_intersect("sigs", "o_sigs")) == F.col("sig"))
+        # Tokens that must differ, against the most that may between similar sets.
+        most = (F.col("n") + F.col("o_n")) * (t.den - t.num)
+        near = near.where((F.col("own") + F.col("o_own")) * (t.den + t.num) <= most)
+        words = (F.get("parity", F.lit(k)).bitwiseXOR(F.get("o_parity", F.lit(k))) for k in range(PARITY_WORDS))
+        odd = reduce(add, (F.bit_count(word) for word in words))
+        near = near.where(odd * (t.den + t.num) <= most)
         pairs = near.select(F.greatest("doc", "o_doc").alias("a"), F.least("doc", "o_doc").alias("b"))
         new = _links(pairs.distinct(), sets, t)
         if new.isEmpty():
@@ -420,7 +441,7 @@ def similar_documents(
     wanted = shared.select("doc").distinct()
     wanted = wanted.join(by_node, "doc").select(F.col("doc").alias("doc_id"), "node")
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "node")
-    token_sets = store(texts.mapInArrow(_emit_sets(size), "doc long, tokens binary").distinct())
+    token_sets = store(texts.mapInArrow(_emit_sets(size), "doc long, tokens binary, parity array<long>").distinct())
     able = store(_own_tokens(token_sets, t))
     shared = store(_different_entries(store(shared.join(able, "doc")), "doc"))
     found = _connect(shared, token_sets, t)

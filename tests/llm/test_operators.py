@@ -102,6 +102,16 @@ def test_entries_of_the_same_documents_are_kept_once(spark):
     assert ngram_join._different_entries(entries.limit(0), "doc").count() == 0
 
 
+def test_parity_never_differs_in_more_places_than_sets():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 40, 3_000):
+        one = np.unique(rng.integers(0, 1 << 62, size, dtype=np.uint64))
+        for new in (0, 1, 30, 2_000):
+            two = np.union1d(one[new // 2 :], rng.integers(0, 1 << 62, new, dtype=np.uint64))
+            bits = np.unpackbits((ngram_join.parity(one) ^ ngram_join.parity(two)).view(np.uint8)).sum()
+            assert bits <= len(np.setxor1d(one, two)) and (new or not bits)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 80)], "a long, b long")
     got = {r[0]: r[1] for r in components(links).collect()}
