@@ -2,8 +2,10 @@
 
 Besides the patterns, runs of a character class are looked at through a sliding window.
 The window's Shannon entropy is kept by counts: a step takes one character out and one in,
-and only their terms of the sum change. A run is reported if any window reaches its class's
-threshold and the allow-list does not excuse it.
+and only their terms of the sum change. The allow-list excuses what it matches and no more:
+a run is cut there, and reported if any window of a stretch that is left reaches its class's
+threshold. Letters of one case with digits have classes of their own; their runs are reported
+where no other span holds them.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ class CharacterClass:
     kind: str
     pattern: str
     alphabet: str
-    #: What a run must hold to be a candidate.
+    #: What a stretch of a run must hold to be a candidate.
     needs: tuple[str, ...]
     least_bits: float
+    #: What is cut out of a run before its stretches are looked at.
+    allowed: str
 
     @property
     def most(self) -> int:
@@ -42,20 +46,33 @@ class CharacterClass:
         return int(WINDOW * UNIT * (log2(WINDOW) - self.least_bits))
 
 
+#: No secrets: published samples, and identifiers made of spelled-out words.
+SAMPLES = "[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]"
+ALLOWED = f"{SAMPLES}|[a-z]{{10,}}"
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 CLASSES = (
     CharacterClass(
         "entropy_base64", f"[A-Za-z0-9+/_-]{{{WINDOW},}}", f"{LETTERS}0123456789+/_-",
-        ("[A-Z]", "[a-z]", "[0-9].*[0-9]"), 3.9,
+        ("[A-Z]", "[a-z]", "[0-9].*[0-9]"), 3.9, ALLOWED,
     ),
     CharacterClass(
         "entropy_hex", f"[0-9A-Fa-f]{{{WINDOW},}}", "0123456789ABCDEFabcdef",
-        ("[A-Fa-f]", "[0-9]"), 3.0,
+        ("[A-Fa-f]", "[0-9]"), 3.0, ALLOWED,
+    ),
+)
+#: Keys of one case. Ten lower-case letters in a row are common in random ones, twenty are not.
+ONE_CASE = (
+    CharacterClass(
+        "entropy_upper", f"[A-Z0-9]{{{WINDOW},}}", f"{LETTERS[:26]}0123456789",
+        ("[A-Z]", "[0-9].*[0-9]"), 3.6, SAMPLES,
+    ),
+    CharacterClass(
+        "entropy_lower", f"[a-z0-9]{{{WINDOW},}}", f"{LETTERS[26:]}0123456789",
+        ("[a-z]", "[0-9](?:[a-z]*[0-9]){3}"), 3.6, f"{SAMPLES}|[a-z]{{20,}}",
     ),
 )
-#: Runs that are no secrets: published samples, and identifiers made of spelled-out words.
-ALLOWED = r"[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]|[a-z]{10,}"
-KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
+KINDS = ("assign", "access", "hex", *(c.kind for c in (*CLASSES, *ONE_CASE)))
 
 _SPAN = "struct<start:bigint,end:bigint,text:string>"
 
@@ -121,16 +138,35 @@ def least_sum(run: Column, alphabet: str) -> Column:
 
 
 def _likely(c: CharacterClass):
-    def test(s: Column) -> Column:
-        mixed = ~s["text"].rlike(ALLOWED)
+    def candidate(part: Column) -> Column:
+        mixed = F.length(part) >= WINDOW
         for need in c.needs:
-            mixed = mixed & s["text"].rlike(need)
+            mixed = mixed & part.rlike(need)
+        return mixed
+
+    def test(s: Column) -> Column:
         # The window runs over candidates only.
-        return F.when(mixed, least_sum(s["text"], c.alphabet) <= c.most).otherwise(F.lit(False))
+        parts = F.filter(F.split(s["text"], c.allowed, -1), candidate)
+        return F.exists(parts, lambda part: least_sum(part, c.alphabet) <= c.most)
 
     return test
 
 
+def _not_within(spans: Column, others: Column) -> Column:
+    """The ``spans`` that no single one of ``others`` holds: one pass by start."""
+    wide = F.transform(others, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("own"), s.alias("span")))
+    own = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("own"), s.alias("span")))
+    none = F.struct(F.lit(0).cast("bigint").alias("far"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        end, mine = x["span"]["end"], x["own"] == 1
+        far = F.when(mine, state["far"]).otherwise(F.greatest(state["far"], end))
+        out = F.when(mine & (end > state["far"]), F.array_append(state["out"], x["span"])).otherwise(state["out"])
+        return F.struct(far.alias("far"), out.alias("out"))
+
+    return F.aggregate(F.array_sort(F.concat(wide, own)), none, step, lambda state: state["out"])
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``n_assign``, ``n_access``, ``n_hex``, ``base`` and ``secrets`` to ``docs``.
 
@@ -150,6 +186,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for c in CLASSES:
         df = matches(df, "_text", c.pattern, f"_{c.kind}")
         df = df.withColumn(f"_{c.kind}", F.filter(f"_{c.kind}", _likely(c)))
+    others = F.concat(*(F.col(f"_{k}") for k in KINDS[: -len(ONE_CASE)]))
+    for c in ONE_CASE:
+        df = matches(df, "_text", c.pattern, f"_{c.kind}")
+        df = df.withColumn(f"_{c.kind}", F.filter(_not_within(F.col(f"_{c.kind}"), others), _likely(c)))
 
     def tagged(kind: str) -> Column:
         order = F.lit(KINDS.index(kind))

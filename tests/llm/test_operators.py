@@ -163,6 +163,27 @@ def test_secrets(spark, texts):
     assert any("entropy_base64" in r[3] for r in listed)
 
 
+def test_secrets_beside_allowed_words_and_of_one_case(spark):
+    rng = random.Random(11)
+
+    def key(alphabet, n=40):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    base64, one_case = secret_scan.CLASSES[0].alphabet[:64], [c.alphabet for c in secret_scan.ONE_CASE]
+    made = [(p, key(base64)) for p in ("credentials/", "production_", "my-sample-") for _ in range(50)]
+    made += [("", key(base64, 800) + "abcdefghijklm" + key(base64, 800)) for _ in range(5)]
+    made += [("", key(a)) for a in one_case for _ in range(50)]
+    rows = [(i, f"see {p}{k}.") for i, (p, k) in enumerate(made)]
+    plain = ["internationalization/administration_2024/01", "sampleexampledummysampleexample12", "x" * 60 + "1234"]
+    rows += [(1000 + i, t) for i, t in enumerate(plain)]
+    got = secret_scan.find_secrets(table(spark, rows)).select("doc_id", "text", "secrets", secret_scan.redacted(F.col("text"), F.col("secrets"))).collect()
+    lost = [made[r[0]] for r in got if r[0] < 1000 and made[r[0]][1] in r[3]]
+    assert len(lost) <= 0.03 * len(made), lost
+    assert all(r[3] == r[1] for r in got if r[0] >= 1000)
+    held = secret_scan.find_secrets(table(spark, [(1, f"token={key(one_case[1])} {'0a1b2c3d4e5f' * 3}")])).first()
+    assert [s.kind for s in held.secrets if s.kind == "entropy_lower"] == []
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 10, 1000, 4097):
         assert sorted(token_output.feistel(np.arange(n), n)) == list(range(n))
