@@ -1,6 +1,6 @@
 """Near-duplicate vectors by an inverted multi-index.
 
-Vectors are cut in halves, each with a codebook of its own; the pairs of codewords are the
+Vectors are cut in halves (of odd widths the second is longer), each with a codebook of its own; the pairs of codewords are the
 cells of a product grid. A vector is stored in the cell of its nearest codewords. A search
 goes through the cells in order of their distance, by the multi-sequence algorithm over the
 two sorted codebook distances, until the distance exceeds that of the vector's own cell by
@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ PER_CELL = 32
 CODEWORDS = (4, 2048)
 #: Vectors of one cell, and searches, that are compared in one task.
 CELL_BLOCK, SEARCH_BLOCK = 1024, 2048
+FOUND = "kind int, a long, b long"
 
 
 @dataclass
@@ -182,22 +184,74 @@ def _compare(index: Index, threshold: float):
         back = d1[s, c1] + d2[s, c2] <= reach[np.searchsorted(used, s)]
         counted = np.concatenate([own[q], other[s[~back]]])
         weights = np.concatenate([v[s], w[q[~back]]])
-        nodes, at = np.unique(counted, return_inverse=True)
-        sums = np.bincount(at, weights=weights).astype(np.int64)
-        both, at = np.unique(np.concatenate([own[q], other[s]]), return_inverse=True)
-        label = both[_least_labels(at[: len(q)], at[len(q) :], len(both))]
-        moved = label != both
-        return pa.table(
-            {
-                "kind": pa.array(np.concatenate([np.zeros(len(nodes)), np.ones(moved.sum())]), pa.int32()),
-                "a": pa.array(np.concatenate([nodes, both[moved]])),
-                "b": pa.array(np.concatenate([sums, label[moved]])),
-            }
-        )
+        return _found(counted, weights, own[q], other[s])
+
+    return run
+
+
+def _found(counted: np.ndarray, weights: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Sums of ``weights`` by node (kind 0), and nodes with the least one linked to them (kind 1)."""
+    nodes, at = np.unique(counted, return_inverse=True)
+    sums = np.bincount(at, weights=weights).astype(np.int64)
+    both, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = both[_least_labels(at[: len(a)], at[len(a) :], len(both))]
+    moved = label != both
+    return pa.table(
+        {
+            "kind": pa.array(np.concatenate([np.zeros(len(nodes)), np.ones(moved.sum())]), pa.int32()),
+            "a": pa.array(np.concatenate([nodes, both[moved]])),
+            "b": pa.array(np.concatenate([sums, label[moved]])),
+        }
+    )
+
+
+def _every(threshold: float):
+    """Links among all vectors of one width, for at most ``CELL_BLOCK`` of them."""
+
+    def run(stored: pa.Table) -> pa.Table:
+        x, node = _unit(stored.column("x")), stored.column("node").to_numpy()
+        q, s = np.nonzero(x @ x.T >= threshold - 1e-9)
+        linked = ((x[q] * x[s]).sum(1) >= threshold) & (node[q] != node[s])
+        q, s = q[linked], s[linked]
+        if not len(q):
+            return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        return _found(node[q], stored.column("weight").to_numpy()[s], node[q], node[s])
 
     return run
 
 
+def _links(unique: DataFrame, total: int, threshold: float, recall: float) -> DataFrame:
+    """(kind, a, b) of :func:`_found` for ``unique`` vectors of one width, by an index of their own."""
+    sample = unique.orderBy(F.xxhash64("x"), "node").limit(SAMPLE).select("x").toArrow()
+    index = fit(_unit(sample.column(0)), total, threshold, recall)
+    assigned = store(unique.mapInArrow(_assign(index), "node long, weight long, x array<double>, i int, j int"))
+    counts = assigned.groupBy("i", "j").agg(F.count(F.lit(1)).alias("in_cell"))
+    visits = assigned.mapInArrow(_search(index), "node long, ci int, cj int")
+    # Searches that visit a cell, and the vectors in it, bounded by splitting both.
+    cells = counts.select(F.col("i").alias("ci"), F.col("j").alias("cj"), F.expr(f"cast(ceil(in_cell / {CELL_BLOCK}) as int)").alias("blocks"))
+    visits = visits.join(cells, ["ci", "cj"])
+    visits = store(visits)
+    asked = visits.groupBy("ci", "cj").agg(F.count(F.lit(1)).alias("asked"))
+    shape = cells.join(asked, ["ci", "cj"])
+    shape = shape.select("ci", "cj", "blocks", F.expr(f"cast(ceil(asked / {SEARCH_BLOCK}) as int)").alias("sets"))
+    shape = store(shape)
+    wide = assigned.select("node", "weight", "x", "i", "j")
+    block = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int")
+    held = wide.join(shape, (F.col("i") == F.col("ci")) & (F.col("j") == F.col("cj")))
+    held = held.withColumn("block", block).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("sets") - 1)))
+    asking = visits.drop("blocks").join(shape, ["ci", "cj"])
+    asking = asking.withColumn("turn", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("sets")).cast("int"))
+    asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asking = asking.select("node", "ci", "cj", "turn", "block").join(wide, "node")
+    key = ["ci", "cj", "turn", "block"]
+    held = held.select("node", "weight", "x", *key)
+    # Both sides come from one table: other names keep them apart.
+    held = held.toDF("s_node", "s_weight", "s_x", *(f"s_{c}" for c in key))
+    asking = asking.select("node", "weight", "x", "i", "j", *key)
+    compared = held.groupBy(*(f"s_{c}" for c in key)).cogroup(asking.groupBy(*key))
+    return store(compared.applyInArrow(_compare(index, threshold), FOUND))
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL,
     id_col: str = "vec_id", vector_col: str = "embedding",
@@ -205,10 +259,10 @@ def near_duplicates(
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every vector.
 
     A vector that is null, empty or zero, or holds a null or a value that is not finite,
-    is linked with nothing; so is one whose length is not that of most vectors, which
-    must be even. Equal vectors are searched once and linked with each other. Rows that
-    share an id are one vector with several values; a null id has no links. ``kept``:
-    the id is the smallest of its component.
+    is linked with nothing. Vectors are compared with those of their own width, even or odd.
+    Equal vectors are searched once and linked with each other. Rows that share an id are
+    one vector with several values; a null id has no links. ``kept``: the id is the smallest
+    of its component.
     """
     spark = vectors.sparkSession
     x = F.col(vector_col).cast("array<double>")
@@ -219,41 +273,18 @@ def near_duplicates(
     top = F.array_max(F.transform("x", F.abs))
     good = rows.where(F.coalesce(fine, F.lit(False)))
     good = good.withColumn("x", F.transform("x", lambda v: v / top + F.lit(0.0)))
-    sizes = good.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    width = sizes[0][0] if sizes else 2
-    same = good.where(F.size("x") == width).groupBy("x")
-    unique = same.agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("weight"))
+    unique = good.groupBy("x").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("weight"))
     unique = store(unique.select("node", "weight", "x"))
-    total = unique.count()
-    if total and width % 2 == 0:
-        sample = unique.orderBy(F.xxhash64("x"), "node").limit(SAMPLE).select("x").toArrow()
-        index = fit(_unit(sample.column(0)), total, threshold, recall)
-        assigned = store(unique.mapInArrow(_assign(index), "node long, weight long, x array<double>, i int, j int"))
-        counts = assigned.groupBy("i", "j").agg(F.count(F.lit(1)).alias("in_cell"))
-        visits = assigned.mapInArrow(_search(index), "node long, ci int, cj int")
-        # Searches that visit a cell, and the vectors in it, bounded by splitting both.
-        cells = counts.select(F.col("i").alias("ci"), F.col("j").alias("cj"), F.expr(f"cast(ceil(in_cell / {CELL_BLOCK}) as int)").alias("blocks"))
-        visits = visits.join(cells, ["ci", "cj"])
-        visits = store(visits)
-        asked = visits.groupBy("ci", "cj").agg(F.count(F.lit(1)).alias("asked"))
-        shape = cells.join(asked, ["ci", "cj"])
-        shape = shape.select("ci", "cj", "blocks", F.expr(f"cast(ceil(asked / {SEARCH_BLOCK}) as int)").alias("sets"))
-        shape = store(shape)
-        wide = assigned.select("node", "weight", "x", "i", "j")
-        block = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int")
-        held = wide.join(shape, (F.col("i") == F.col("ci")) & (F.col("j") == F.col("cj")))
-        held = held.withColumn("block", block).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("sets") - 1)))
-        asking = visits.drop("blocks").join(shape, ["ci", "cj"])
-        asking = asking.withColumn("turn", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("sets")).cast("int"))
-        asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        asking = asking.select("node", "ci", "cj", "turn", "block").join(wide, "node")
-        key = ["ci", "cj", "turn", "block"]
-        held = held.select("node", "weight", "x", *key)
-        # Both sides come from one table: other names keep them apart.
-        held = held.toDF("s_node", "s_weight", "s_x", *(f"s_{c}" for c in key))
-        asking = asking.select("node", "weight", "x", "i", "j", *key)
-        compared = held.groupBy(*(f"s_{c}" for c in key)).cogroup(asking.groupBy(*key))
-        found = store(compared.applyInArrow(_compare(index, threshold), "kind int, a long, b long"))
+    width = F.size("x").alias("n")
+    sizes = sorted(((r["count"], r["n"]) for r in unique.groupBy(width).count().collect()), reverse=True)
+    # The most common width has an index, and so has each with many vectors; others are compared whole.
+    indexed = [(total, n) for k, (total, n) in enumerate(sizes) if not k or total > CELL_BLOCK]
+    parts = [_links(unique.where(F.size("x") == n), total, threshold, recall) for total, n in indexed]
+    if len(sizes) > len(indexed):
+        rare = unique.where(~F.size("x").isin([n for _, n in indexed]))
+        parts.append(store(rare.groupBy(width).applyInArrow(_every(threshold), FOUND)))
+    if parts:
+        found = reduce(DataFrame.unionByName, parts)
         links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
         named = components(found.where("kind = 1").select("a", "b"))
     else:

@@ -316,6 +316,24 @@ def test_near_vectors(spark):
     assert near_dedup.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_near_vectors_of_odd_and_rare_widths(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 15))
+    x[100:200] = x[:100] + rng.normal(size=(100, 15)) * 0.1
+    few = rng.normal(size=(40, 8))
+    few[20:] = few[:20] * 2 + rng.normal(size=(20, 8)) * 0.05
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(few)]
+    rows += [(2000, [1.0, 2.0, 3.0]), (2001, [2.0, 4.0, 6.0]), (2002, [5.0]), (2003, [-3.0]), (2004, [7.0])]
+    got = {r.vec_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for some, start, least in ((x, 0, 0.98), (few, 1000, 1)):
+        unit = some / np.linalg.norm(some, axis=1)[:, None]
+        counts = (unit @ unit.T >= 0.9).sum(1) - 1
+        found = [got[start + i].n_links for i in range(len(some))]
+        assert counts.sum() and least * counts.sum() <= sum(found) and all(f <= c for f, c in zip(found, counts))
+    ends = [(got[i].n_links, got[i].component_id) for i in range(2000, 2005)]
+    assert ends == [(1, 2000), (1, 2000), (1, 2002), (0, 2003), (1, 2002)]
+
+
 @pytest.mark.parametrize("limit", [16, 4096])
 def test_packing_plan(limit):
     rng = np.random.default_rng(limit)
