@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm import line_dedup, ngram_join, packing, quality, secret_scan
@@ -30,11 +30,35 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _with_text(found, F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
 
 
+def _row() -> Column:
+    return F.min(F.struct("lang", "source", "n_chars")).alias("row")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Add ``key``: the id, or for rows without one a number above all ids for each text."""
+    docs = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("key"))
+    lone = docs.where("doc_id is null")
+    if lone.isEmpty():
+        return docs
+    top = docs.agg(F.coalesce(F.max("key"), F.lit(0))).first()[0]
+    texts = lone.groupBy("doc_id", "text").agg(_row()).select("doc_id", "text", "row.*").select(*COLUMNS)
+    # Stored, so that the numbers stay.
+    texts = store(texts.withColumn("key", F.monotonically_increasing_id() + F.lit(top) + 1))
+    return docs.where("doc_id is not null").unionByName(texts)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id."""
-    found = ngram_join.similar_documents(docs, size=5, num=8, den=10)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group: the one with the smallest id.
+
+    Rows that share an id are one document: of equal rows, also with another language or
+    source, one stays (the least), and each of its different texts. Rows without an id
+    are a document for each different text, after all that have one.
+    """
+    rows = _numbered(docs)
+    found = ngram_join.similar_documents(rows, size=5, num=8, den=10, id_col="key")
+    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct()
+    kept = rows.join(others, "key", "left_anti").groupBy("key", "doc_id", "text").agg(_row())
+    return kept.select("doc_id", "text", "row.*").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -454,3 +454,20 @@ def test_pipeline(spark):
             assert 10 * len(sets[a] & sets[b]) < 8 * len(sets[a] | sets[b]) or not sets[a]
     assert {r.doc_id for r in clean.collect()} == set(texts)
     assert {r.doc_id for r in p.run(spark, SF_DIR).collect()} == set(texts)
+
+
+def test_near_copies_of_repeated_rows_and_null_ids(spark):
+    import corpus_pipeline as p
+
+    words = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(5)]
+    near = words[0] + " more"
+    rows = [(5, words[0], "en", "b"), (5, words[0], "en", "b"), (5, words[0], "en", "a"), (7, near, "en", "a"), (None, near, "en", "a")]
+    rows += [(None, words[1], "en", "a"), (None, words[1], "de", "a"), (None, words[1] + " more", "en", "a"), (8, words[2], "en", "a")]
+    rows += [(9, words[3], "en", "a"), (9, words[4], "en", "a"), (None, None, "en", "a"), (None, None, "en", "a"), (None, "", "en", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in p.near_copies(spark, docs, SF_DIR).select("doc_id", "text", "source").collect()]
+    alone = [r for r in got if r[0] is None and r[1]]
+    assert len(alone) == 1 and alone[0][1] in (words[1], words[1] + " more")
+    rest = [r for r in got if r not in alone]
+    want = [(5, words[0], "a"), (8, words[2], "a"), (9, words[3], "a"), (9, words[4], "a"), (None, None, "a"), (None, "", "a")]
+    assert sorted(map(repr, rest)) == sorted(map(repr, want))
