@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.llm.common import positions, store
@@ -51,7 +51,7 @@ def _messages(schemas: dict[str, dict]):
             columns = (batch.column(c).to_pylist() for c in ("call_id", "name", "arguments", "result", "state"))
             for call_id, name, arguments, result, state in zip(*columns):
                 wrong = []
-                if state != "unasked":
+                if state not in ("unasked", "repeated_result"):
                     try:
                         arguments = json.loads(arguments or "")
                         wrong = problems(arguments, schemas.get(name))
@@ -91,32 +91,46 @@ def _levels(calls: DataFrame) -> DataFrame:
     return done
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], with_repeated: bool = False) -> DataFrame:
     """A row for each call, and for each result that no call asked for.
 
     ``calls``: conv_id, call_id, seq, name, arguments (JSON); ``results``: conv_id,
     call_id, seq, content. Of a call or result that occurs several times the first by
-    seq is taken. ``state``: answered, open (no result) or unasked (no call). ``level``
-    is null on a cycle and for results without a call. ``position`` numbers a
+    seq is taken; ``with_repeated`` gives each later one a row of its own too, which is
+    linked with nothing. ``state``: answered, open (no result), unasked (no call),
+    repeated_call or repeated_result. ``level`` is null on a cycle, for results without a
+    call and for repeated ones. ``position`` numbers a
     conversation's rows by level, then seq. ``problems`` is what validation found, and
     ``message`` the canonical JSON. Rows with a null conversation or identifier are
     linked with nothing.
     """
 
-    def first(df: DataFrame, *values: str) -> DataFrame:
-        picked = F.min(F.struct("seq", *values)).alias("_v")
-        lone = df.where("conv_id is null or call_id is null").select("conv_id", "call_id", F.struct("seq", *values).alias("_v"))
-        full = df.where("conv_id is not null and call_id is not null")
-        return full.groupBy("conv_id", "call_id").agg(picked).unionByName(lone).select("conv_id", "call_id", "_v.*")
+    key = ["conv_id", "call_id", "turn_"]
 
-    asked = store(first(calls, "name", "arguments"))
-    given = first(results, "content").select(
-        "conv_id", "call_id", F.col("seq").alias("_seq"), F.col("content").alias("result"), F.lit(True).alias("_given")
+    def ranked(df: DataFrame, *values: str) -> DataFrame:
+        """With ``turn_``: 1 for what is taken, and 2 and so on for what repeats it."""
+        lone = df.where("conv_id is null or call_id is null").select("conv_id", "call_id", F.lit(1).alias("turn_"), "seq", *values)
+        full = df.where("conv_id is not null and call_id is not null")
+        if with_repeated:
+            turn = F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("seq", *values))
+            full = full.select("conv_id", "call_id", turn.alias("turn_"), "seq", *values)
+        else:
+            full = full.groupBy("conv_id", "call_id").agg(F.min(F.struct("seq", *values)).alias("_v"))
+            full = full.select("conv_id", "call_id", F.lit(1).alias("turn_"), "_v.*")
+        return full.unionByName(lone)
+
+    asked = store(ranked(calls, "name", "arguments"))
+    # Repeated results have negative numbers, so that they meet no repeated call.
+    turn = F.when(F.col("turn_") > 1, -F.col("turn_")).otherwise(F.col("turn_")).alias("turn_")
+    given = ranked(results, "content").select(
+        "conv_id", "call_id", turn, F.col("seq").alias("_seq"), F.col("content").alias("result"), F.lit(True).alias("_given")
     )
-    both = asked.withColumn("_asked", F.lit(True)).join(given, ["conv_id", "call_id"], "full")
-    state = F.when(F.col("_asked").isNull(), "unasked").when(F.col("_given").isNull(), "open").otherwise("answered")
+    both = asked.withColumn("_asked", F.lit(True)).join(given, key, "full")
+    state = F.when(F.col("turn_") > 1, "repeated_call").when(F.col("turn_") < 0, "repeated_result")
+    state = state.when(F.col("_asked").isNull(), "unasked").when(F.col("_given").isNull(), "open").otherwise("answered")
     both = both.withColumns({"state": state, "seq": F.coalesce("seq", "_seq")}).drop("_asked", "_given", "_seq")
-    both = both.join(_levels(asked.where("conv_id is not null and call_id is not null")), ["conv_id", "call_id"], "left")
+    levels = _levels(asked.where("conv_id is not null and call_id is not null and turn_ = 1"))
+    both = both.join(levels.withColumn("turn_", F.lit(1)), key, "left")
     schema = "conv_id string, call_id string, seq long, name string, state string, level int, message string, problems string"
     order = ["conv_id", "call_id", "seq", "name", "arguments", "result", "state", "level"]
     both = both.select(*order).withColumn("conv_id", F.col("conv_id").cast("string"))

@@ -95,7 +95,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("turn").cast("long").alias("seq"),
         F.col("text").alias("content"),
     )
-    return chat.link_calls(calls, results, TOOLS)
+    return chat.link_calls(calls, results, TOOLS, with_repeated=True)
 
 
 def _token_digests(path: str):

@@ -258,6 +258,22 @@ def test_chat(spark):
     assert rows["c", "8", "unasked"].problems == "" and rows["d", "2", "open"].problems == "arguments are not JSON"
 
 
+def test_chat_keeps_repeated_calls_and_results(spark, tmp_path):
+    rows = [("1", 0, "user", "a"), ("1", 0, "user", "b"), ("1", 0, "user", "b"), ("1", 1, "assistant", "x"), ("1", 1, "assistant", "y")]
+    rows += [("1", 2, "user", "c"), ("2", 1, "assistant", "z"), ("2", 1, "assistant", "z")]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op5_chat_formatting(spark, str(tmp_path)).collect()
+    seen = Counter((r.conv_id, r.state, m.get("result"), (m.get("arguments") or {}).get("text")) for r in got for m in [json.loads(r.message)])
+    assert seen == Counter(
+        {
+            ("1", "answered", "x", "a"): 1, ("1", "repeated_call", None, "b"): 2, ("1", "repeated_result", "y", None): 1,
+            ("1", "open", None, "c"): 1, ("2", "unasked", "z", None): 1, ("2", "repeated_result", "z", None): 1,
+        }
+    )
+    assert len({(r.conv_id, r.position) for r in got}) == len(got)
+    assert all((r.level is None) == (r.state not in ("answered", "open")) for r in got)
+
+
 def test_chat_query_answers(spark):
     got = queries.op5_chat_formatting(spark, SF_DIR).collect()
     turns = spark.read.parquet(f"{SF_DIR}/conversations.parquet").collect()
