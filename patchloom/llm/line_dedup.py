@@ -4,8 +4,9 @@ Documents come in batches. A batch's long lines are hashed to 128 bits, counted
 as a run: a table bucketed and sorted by hash. Once a level holds ``FANOUT`` runs they are
 merged, bucket by bucket and without a shuffle, into one run of the next level. A new batch
 reads as many runs as there are levels, and a hash is rewritten once per level. When all
-batches are in, the lines of each document are merge-anti-joined with the hashes that
-occur often enough: those lines go, except in the document that keeps them.
+batches are in, the hashes of all lines are read again and joined with those that occur
+often enough: those lines go, except in the document that keeps them. No batch is joined
+with the runs before, as counts are over all batches.
 """
 
 from __future__ import annotations
