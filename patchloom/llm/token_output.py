@@ -54,7 +54,10 @@ def _sequences(path: str, stride: int, end_id: int):
         for batch in batches:
             rows, piece, size, records = [], [], [], []
             for row, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u2")
+                ids = np.append(ids, np.uint32(end_id))
+                if ids.max() > 0xFFFF:
+                    raise ValueError(f"id {ids.max()} does not fit 16 bits")
+                ids = ids.astype("<u2")
                 for k, first in enumerate(range(0, len(ids), stride)):
                     part = ids[first : first + stride]
                     rows.append(row)

@@ -209,6 +209,11 @@ def test_token_shards_round_trip(spark, texts, tmp_path):
     assert token_output.training_order(table(spark, []), VOCABULARY).count() == 0
 
 
+def test_token_ids_over_16_bits_are_an_error(spark):
+    with pytest.raises(Exception, match="id 65536 does not fit 16 bits"):
+        token_output.training_order(table(spark, [(1, "a b")]), VOCABULARY, end_id=1 << 16).count()
+
+
 def test_shards(spark, texts):
     rows = [(i, t, f"s{i % 3}" if i % 5 else None, "", "", "") for i, t in texts] + [(None, "q", "lone", "", "", "")] * 2
     got = sharding.stratified_shards(spark.createDataFrame(rows, SCHEMA), 8).collect()
