@@ -144,10 +144,36 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP11 = """
+WITH good AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id,
+        list_inner_product(a.v, r.v)::BIGINT AS score
+    FROM good a JOIN good r ON a.vec_id <> r.vec_id AND len(a.v) = len(r.v)
+    WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+    (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id))::INT AS rank,
+    n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 80::HUGEINT * positive_score <= 100::HUGEINT * n.score AND n.score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": OP1,
         "op2_secret_scans": OP2,
         "op7_embedding_near_dedup": OP7,
         "op9_line_dedup": OP9,
+        "op11_hard_negatives": OP11,
     }

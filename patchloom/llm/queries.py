@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from patchloom.llm import (
     chat,
+    hard_negatives,
     line_dedup,
     near_dedup,
     ngram_join,
@@ -21,6 +22,7 @@ from patchloom.llm import (
     secret_scan,
     sharding,
     token_output,
+    toxicity,
 )
 from patchloom.llm.bpe import bpe
 
@@ -140,6 +142,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model, with_text=False)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector as an anchor; the labels of every seventh are shifted by one."""
+    rows = hard_negatives.participants(_table(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumn("label", label)
+    return hard_negatives.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -159,6 +175,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_line_dedup,
         op10_quality_rules,
+        op11_hard_negatives,
+        op13_toxicity,
         pipeline,
     )
 }
