@@ -169,6 +169,89 @@ QUALIFY rank <= 5
 """
 
 
+def _repair_step() -> str:
+    """Four best (cost, edits, text) records, one for each state, from those before a turn.
+
+    States are 1 nothing, 2 system, 3 user, 4 assistant; x is the turn."""
+    due = {1: 3, 2: 3, 3: 4, 4: 3}
+    role = {3: "user", 4: "assistant"}
+    into: dict[int, list[str]] = {s: [] for s in due}
+    for start in due:
+        state, cost, edits, text = start, 0, "", f"y.s[{start}].o"
+        for _ in range(3):
+            before = f"y.s[{start}].c + {cost}"
+            edit = f"y.s[{start}].a || '{edits}%s'"
+            record = "{{'c': {}, 'a': {}, 'o': {}}}".format
+            into[state].append(record(f"{before} + 3", edit % "D", text))
+            kept = {("s", 1): 2, ("u", 1): 3, ("u", 2): 3, ("u", 4): 3, ("a", 3): 4}
+            for (initial, at), then in kept.items():
+                if at == state:
+                    fits = f"CASE WHEN x.i = '{initial}' AND NOT x.gone THEN {before} + x.t ELSE 1000000000 END"
+                    into[then].append(record(fits, edit % "K", f"{text} || x.role || ':' || x.text || chr(10)"))
+            then = due[state]
+            fits = f"CASE WHEN NOT x.gone THEN {before} + 2 + x.t ELSE 1000000000 END"
+            into[then].append(record(fits, edit % "R", f"{text} || '{role[then]}:' || x.text || chr(10)"))
+            state, cost, edits, text = then, cost + 2, edits + "I", f"{text} || '{role[then]}:' || chr(10)"
+    return ", ".join(f"list_min([{', '.join(records)}])" for records in into.values())
+
+
+_RECORD = "STRUCT(c BIGINT, a VARCHAR, o VARCHAR)"
+OP12 = f"""
+WITH named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+    FROM conversations
+), coded AS (
+    SELECT *, xor(list_reduce(
+        flatten([[ord(c), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[] FOR c IN string_split(name, '')]),
+        lambda y, x: CASE WHEN x >= 0 THEN xor(y, x)
+            ELSE xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END) END,
+        4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind
+    FROM named
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END))
+    FROM coded WHERE kind <> 0
+), placed AS (
+    SELECT *, coalesce('=' || conv_id, '') AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        sha256(concat_ws(':', length(coalesce('=' || conv_id, '')), coalesce('=' || conv_id, ''), length(role), role, text))) AS place
+    FROM damaged
+), seen AS (
+    SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS again,
+        NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut,
+        left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before
+    FROM placed
+), listed AS (
+    SELECT conv_id,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (blank) AS blank,
+        count(*) FILTER (NOT blank AND again) AS duplicate,
+        count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal,
+        list({{'s': NULL::{_RECORD}[], 'gone': blank OR again, 'i': i, 't': cut::INT, 'role': role, 'text': text}}
+            ORDER BY place) AS rows
+    FROM seen GROUP BY conv_id
+), solved AS (
+    SELECT * EXCLUDE rows, list_reduce(rows,
+        lambda y, x: {{'s': [{_repair_step()}], 'gone': false, 'i': '', 't': 0, 'role': '', 'text': ''}},
+        {{'s': [{{'c': 0, 'a': '', 'o': ''}}, {{'c': 100000000, 'a': '', 'o': ''}}, {{'c': 100000000, 'a': '', 'o': ''}},
+            {{'c': 100000000, 'a': '', 'o': ''}}]::{_RECORD}[], 'gone': false, 'i': '', 't': 0, 'role': '', 'text': ''}}).s AS s
+    FROM listed
+), ended AS (
+    SELECT * EXCLUDE s, list_min([s[1], s[4],
+        {{'c': s[2].c + 4, 'a': s[2].a || 'II', 'o': s[2].o || 'user:' || chr(10) || 'assistant:' || chr(10)}},
+        {{'c': s[3].c + 2, 'a': s[3].a || 'I', 'o': s[3].o || 'assistant:' || chr(10)}}]) AS best
+    FROM solved
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+    coalesce(best.a, '') AS audit, sha256(coalesce(left(best.o, -1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": OP1,
@@ -176,4 +259,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_embedding_near_dedup": OP7,
         "op9_line_dedup": OP9,
         "op11_hard_negatives": OP11,
+        "op12_conversation_repair": OP12,
     }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from patchloom.llm import (
     chat,
+    conversation_repair,
     hard_negatives,
     line_dedup,
     near_dedup,
@@ -150,6 +151,34 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults, by a checksum of conversation and turn: dropped, emptied, without
+    sentence ends, repeated, or with the role user. Nulls are one space in texts and names."""
+    space = F.lit(" ")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    kind = F.crc32(name.cast("binary")) % 20
+    text = F.coalesce("text", space)
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(kind == 4, "user").otherwise(F.coalesce("role", space))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1)))
+    rows = turns.where(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy"))
+    return rows.drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    repair = conversation_repair.repair(damaged(turns))
+    ids = turns.select("conv_id", conversation_repair.conversation(F.col("conv_id")).alias("conv")).distinct()
+    found = ids.join(repair.conversations, "conv", "left").join(conversation_repair.digests(repair.turns), "conv", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(
+        "conv_id",
+        *counts,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"),
+    )
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -176,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_dedup,
         op10_quality_rules,
         op11_hard_negatives,
+        op12_conversation_repair,
         op13_toxicity,
         pipeline,
     )
