@@ -7,12 +7,15 @@ on any engine (see ``oracle.py`` for the other engine's SQL).
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.functions import prompts
 from patchloom.operators.instances import normalize
 from patchloom.operators.joins import lookup_join
+from patchloom.session import shared_folder
 
 TABLE_SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
@@ -34,6 +37,16 @@ PATCH = r"""concat('--- a/doc_', doc_id, '\n+++ b/doc_', doc_id, '\n@@ -1 +1 @@\
 PASSED = "quality = 1 AND toxic = 0"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for tables that a query writes and reads back: under the shared one, or
+    for a session of this machine alone that names none, under a local one."""
+    master = spark.sparkContext.master
+    alone = master == "local" or master.startswith("local[")
+    if alone and not spark.conf.get("spark.checkpoint.dir", None):
+        return f"file:///tmp/checkpoints/scratch/{uuid4().hex}"
+    return f"{shared_folder(spark)}/scratch/{uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 

@@ -447,6 +447,15 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
         """SELECT instance_id, CASE WHEN length(patch) > 300 THEN substr(patch, 1, 300) || '...'
           ELSE patch END AS sample FROM predictions ORDER BY instance_id LIMIT 3""",
     ),
+    "read_prediction_arrays": (["predictions"], "SELECT instance_id, patch FROM predictions"),
+    "read_prediction_objects": (["predictions"], "SELECT instance_id, patch FROM predictions"),
+    "read_result_bundle": (
+        ["results"],
+        """SELECT instance_id, passed, tests_passed, tests_failed, tests_error, patch_applied,
+          error_message, execution_time, '"results": [{}], ' || chr(92) || '"' || instance_id AS logs
+        FROM results""",
+    ),
+    "read_bundle_metrics": (["results"], f"SELECT {RATE_ROWS} FROM results"),
     "metrics_global": (["results"], f"SELECT {RATE_ROWS} FROM results"),
     "metrics_empty": (["results"], f"SELECT {RATE_ROWS} FROM results WHERE execution_time < 0"),
     "metrics_per_repo": (
@@ -614,6 +623,11 @@ TABLES["attempts"] = (
         SELECT instance_id, attempt, patch || attempt AS patch, (doc_id + attempt) % 3 = 0 AS passed
         FROM predictions, (SELECT unnest(range(3)) AS attempt)""",
 )
+STATEMENTS["read_written_examples"] = STATEMENTS["sft_format"]
+STATEMENTS["read_written_pairs"] = (
+    STATEMENTS["pairs_hybrid"][0],
+    f"SELECT prompt, chosen, rejected, instance_id FROM ({STATEMENTS['pairs_hybrid'][1]})",
+)
 STATEMENTS["pairs_pass_fail"] = (["instances", "attempts"], STATEMENTS["pairs_pass_fail"][1])
 
 

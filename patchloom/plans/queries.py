@@ -19,6 +19,7 @@ from patchloom.operators import (
     splits,
 )
 from patchloom.plans import corpus
+from patchloom.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -357,6 +358,56 @@ def run_samples(spark, sf):
     return pred.run_samples(_submissions_by_model(spark, sf))
 
 
+# ---- files: written as other tools write them, and read back
+
+
+@query
+def read_prediction_arrays(spark, sf):
+    path = corpus.scratch(spark)
+    # An id's two records are in one file, in the order in which they count.
+    rows = corpus.submitted(spark, sf).repartition("instance_id").sortWithinPartitions("instance_id", "pos")
+    writers.write_arrays(rows.select("instance_id", F.col("patch").alias("model_patch")), path)
+    found = pred.keep_last(readers.read_prediction_array(spark, path))
+    return found.select("instance_id", "patch")
+
+
+@query
+def read_prediction_objects(spark, sf):
+    path = corpus.scratch(spark)
+    rows = corpus.submitted(spark, sf).repartition("instance_id").sortWithinPartitions("instance_id", "pos")
+    writers.write_prediction_objects(rows, path)
+    return pred.keep_last(readers.read_prediction_object(spark, path))
+
+
+@query
+def read_result_bundle(spark, sf):
+    path = corpus.scratch(spark)
+    results = corpus.results(spark, sf).withColumn("logs", F.concat(F.lit('"results": [{}], \\"'), "instance_id"))
+    writers.write_bundle(results, path, {"workers": 4})
+    return readers.read_results(spark, path)
+
+
+@query
+def read_bundle_metrics(spark, sf):
+    path = corpus.scratch(spark)
+    writers.write_bundle(corpus.results(spark, sf).withColumn("logs", F.lit("")), path)
+    return readers.read_bundle_metrics(spark, path)
+
+
+@query
+def read_written_examples(spark, sf):
+    path = f"{corpus.scratch(spark)}.json"
+    writers.write_dataset(sft_format(spark, sf), path)
+    return readers.read_sft_examples(spark, path)
+
+
+@query
+def read_written_pairs(spark, sf):
+    path = corpus.scratch(spark)
+    writers.write_preference_pairs(pairs_hybrid(spark, sf), f"{path}.json")
+    return readers.read_preference_pairs(spark, f"{path}.json")
+
+
 # ---- metrics
 
 

@@ -8,18 +8,16 @@ from pyspark.sql.types import StructType
 
 from patchloom import schemas
 from patchloom.operators.instances import first, normalize, require_columns
+from patchloom.sources.json_ranges import read_records
 
 DATASETS = ("pro", "lite")
 
 
 def _json(spark: SparkSession, path: str, schema: StructType, array: bool) -> DataFrame:
-    """JSON Lines, or with ``array`` files that hold one JSON array each.
-
-    An array file cannot be split, so it is parsed in one task; many files are read
-    in parallel.
-    """
-    reader = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", array)
-    return reader.json(path)
+    """JSON Lines, or with ``array`` files that hold one JSON array each."""
+    if array:
+        return read_records(spark, path, schema).drop("pos")
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def _position() -> Column:
@@ -62,13 +60,13 @@ def read_eval_instances(
     return first(instances, max_instances) if max_instances else instances
 
 
-def _predictions(records: DataFrame) -> DataFrame:
+def _predictions(records: DataFrame, pos: Column) -> DataFrame:
     return records.select(
         "instance_id",
         F.coalesce("patch", "model_patch").alias("patch"),
         F.col("model_name_or_path").alias("model"),
         "error",
-        _position().alias("pos"),
+        pos.alias("pos"),
     )
 
 
@@ -78,12 +76,12 @@ def read_prediction_array(spark: SparkSession, path: str) -> DataFrame:
     Like the other prediction readers this keeps all rows, with their position as
     ``pos``; ``predictions.keep_last`` makes the last one of an id win.
     """
-    return _predictions(_json(spark, path, schemas.PREDICTION_RECORD, array=True))
+    return _predictions(read_records(spark, path, schemas.PREDICTION_RECORD), F.col("pos"))
 
 
 def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
     """Predictions from JSON Lines of records (``patch`` or ``model_patch``)."""
-    return _predictions(_json(spark, path, schemas.PREDICTION_RECORD, array=False))
+    return _predictions(_json(spark, path, schemas.PREDICTION_RECORD, array=False), _position())
 
 
 def read_prediction_object(spark: SparkSession, path: str) -> DataFrame:
@@ -119,25 +117,21 @@ def read_results(spark: SparkSession, path: str, last_wins: bool = False) -> Dat
     """Results out of result bundles, defaults filled in; a bundle without any has none.
 
     With ``last_wins`` an id that occurs several times has its last result only, by file
-    name and place in the bundle. A bundle is one row, as its format has it: write large
-    runs as datasets.
+    name and place in the bundle. A large bundle is read by many tasks.
     """
-    bundle = _json(spark, path, schemas.BUNDLE, array=True)
+    found = read_records(spark, path, schemas.RESULT, key="results", elements=True)
     if not last_wins:
-        return bundle.select(F.inline("results")).na.fill(schemas.RESULT_DEFAULTS)
-    placed = bundle.select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode("results").alias("at", "result")
-    )
-    placed = placed.select("result.*", F.struct("file", "at").alias("pos"))
-    columns = schemas.RESULT.names
-    last = F.max_by(F.struct(*columns), "pos").alias("last")
-    found = placed.groupBy("instance_id").agg(last).select("last.*")
-    return found.na.fill(schemas.RESULT_DEFAULTS)
+        return found.drop("pos").na.fill(schemas.RESULT_DEFAULTS)
+    last = F.max_by(F.struct(*schemas.RESULT.names), "pos").alias("last")
+    return found.groupBy("instance_id").agg(last).select("last.*").na.fill(schemas.RESULT_DEFAULTS)
 
 
 def read_bundle_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """The metrics part of result bundles, one row each."""
-    return _json(spark, path, schemas.BUNDLE, array=True).select("metrics.*")
+    """The metrics part of result bundles, one row each; nulls where a bundle has none."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("_metadata.file_path").alias("file"))
+    found = read_records(spark, path, schemas.METRICS, key="metrics")
+    found = found.withColumn("file", F.col("pos.file")).drop("pos")
+    return files.join(found, "file", "left").drop("file")
 
 
 def _by_extension(spark: SparkSession, path: str, schema: StructType, array: bool) -> DataFrame:

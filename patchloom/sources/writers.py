@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, Observation
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from patchloom import schemas
@@ -31,6 +34,57 @@ def write_dataset(
     return written.get["rows"]
 
 
+def _document(entries: DataFrame, path: str, head: str, tail: str, mode: str) -> None:
+    """Each part file is ``head``, the JSON texts in ``entries`` with commas between, and ``tail``.
+
+    Nulls are left out; a part without a row is an empty file."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch({"value": pa.array([head])})
+        held = None  # a comma follows unless it is the last
+        for batch in batches:
+            texts = batch.column(0).drop_null().to_pylist()
+            if texts:
+                known = [held, *texts] if held is not None else texts
+                held = known.pop()
+                yield pa.record_batch({"value": pa.array([t + "," for t in known], pa.string())})
+        yield pa.record_batch({"value": pa.array(([] if held is None else [held]) + [tail], pa.string())})
+
+    entries.mapInArrow(lines, "value string").write.mode(mode).text(path)
+
+
+def _json(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("entry")
+
+
+def write_arrays(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Part files that hold one JSON array of records each, rows in the order of ``df``'s parts."""
+    _document(df.select(_json(df)), path, "[", "]", mode)
+
+
+def write_prediction_objects(predictions: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Part files that hold one object ``{id: patch, ..}`` each; null ids are left out."""
+    entry = F.to_json(F.create_map("instance_id", "patch"), {"ignoreNullFields": "false"})
+    inner = F.regexp_extract(entry, r"(?s)\A\{(.*)\}\z", 1).alias("entry")
+    _document(predictions.where("instance_id IS NOT NULL").select(inner), path, "{", "}", mode)
+
+
+def write_bundle(results: DataFrame, path: str, config: dict[str, str] | None = None) -> None:
+    """One file with a run's config, metrics and results, for tools that want a single record.
+
+    The format is one document, so one task writes it; results pass through it row by row.
+    Written from a stored table, so that the input is evaluated once. :func:`write_report`
+    is the parallel form; :func:`readers.read_results` reads this one in parallel too.
+    """
+    stored = store(results.select(*schemas.RESULT.names))
+    metrics = global_metrics(stored)
+    summary = metrics.select(_json(metrics)).first()[0]
+    settings = json.dumps({k: str(v) for k, v in (config or {}).items()})
+    head = f'{{"config": {settings},\n"metrics": {summary},\n"results": ['
+    entries = results.sparkSession.range(1).select(F.lit(None).cast("string").alias("entry"))
+    _document(entries.union(stored.select(_json(stored))).coalesce(1), path, head, "]}", "errorifexists")
+
+
 def write_preference_pairs(
     pairs: DataFrame, path: str, format: str = "json", mode: str = "errorifexists"
 ) -> int:
