@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import diff, prompts
 from patchloom.functions.text import strip
+from patchloom.operators.counts import StageCounts, watched
 from patchloom.operators.generation import generate
-from patchloom.operators.joins import lookup_join, lookup_joins
+from patchloom.operators.joins import HOT_ROWS, lookup_join, lookup_joins
 from patchloom.operators.predictions import unique
+from patchloom.operators.ranks import ranked
 
 METHODS = ("evaluation", "synthetic", "rule_based", "hybrid")
 
@@ -89,15 +91,52 @@ def requests(
     )
 
 
+#: What can become of a request or a response.
+STATES = ("answered", "failed", "lost", "unasked", "repeated")
+
+
+def reconcile(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Responses held against requests by instance and attempt: (instance_id, attempt, state,
+    n_responses, response).
+
+    A request is answered (its earliest response with a text counts), failed (only NULL or
+    empty ones) or lost (none); a response without a request is unasked. A key with several
+    responses has another row with the state repeated, whose count is that of the further
+    ones. ``responses`` may have an order (pos); without one the least text counts. Each side
+    is one row per key before the join, combined ahead of the shuffle, so no key is hot.
+    """
+    keys = ["instance_id", "attempt"]
+    empty = F.coalesce("response", F.lit("")) == ""
+    order = F.struct(empty, *(["pos"] if "pos" in responses.columns else []), "response")
+    given = responses.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("response"), order).alias("best")
+    )
+    asked = requests.select(*keys).distinct().withColumn("asked", F.lit(True))
+    response = F.col("best.response")
+    state = (
+        F.when(F.col("asked").isNull(), "unasked")
+        .when(F.col("n").isNull(), "lost")
+        .when(F.coalesce(response, F.lit("")) == "", "failed")
+        .otherwise("answered")
+    )
+    further = F.struct(F.lit("repeated").alias("state"), (F.col("n") - 1).alias("n_responses"), F.lit(None).cast("string").alias("response"))
+    first = F.struct(state.alias("state"), F.when(F.col("n") >= 1, F.lit(1)).otherwise(0).cast("long").alias("n_responses"), response.alias("response"))
+    both = F.when(F.col("n") > 1, F.array(first, further)).otherwise(F.array(first))
+    return asked.join(given, keys, "full_outer").select(*keys, F.explode(both).alias("at")).select(*keys, "at.*")
+
+
 def from_candidates(
-    instances: DataFrame, responses: DataFrame, drop_equal: bool = True
+    instances: DataFrame, responses: DataFrame, drop_equal: bool = True, requests: DataFrame | None = None
 ) -> DataFrame:
     """Gold patch over stored responses (instance_id, attempt, response).
 
     Responses are stripped; failed ones (NULL or empty) give no pair, nor, with
     ``drop_equal``, do those equal to the gold patch. Many responses may share an
-    instance; an instance has one row.
+    instance; an instance has one row. With ``requests`` (instance_id, attempt) only
+    responses that were asked for count, and each attempt once, as :func:`reconcile` says.
     """
+    if requests is not None:
+        responses = reconcile(requests, responses).where("state = 'answered'")
     usable = responses.where(F.coalesce("response", F.lit("")) != "").select(
         "instance_id", strip(F.col("response")).alias("rejected")
     )
@@ -155,6 +194,54 @@ def pass_fail(instances: DataFrame, candidates: DataFrame) -> DataFrame:
     return _pairs(joined, F.col("rejected"), F.lit("pass_fail"), chosen="chosen")
 
 
+def matched_attempts(candidates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every passing and every failing attempt of an instance that has both, in as few pairs as
+    that takes: (instance_id, pair, passing_attempt, failing_attempt, chosen, rejected).
+
+    Both sides are placed by a digest of attempt and patch. The i-th row of the longer side
+    goes with row i modulo the other side's length, so the shorter side's rows are used
+    about equally often, and there are as many pairs as the longer side has rows. An instance
+    may hold any share of the attempts: it is placed and joined in parts.
+    """
+    order = F.md5(F.concat_ws("|", F.col("attempt").cast("string"), "patch"))
+    known = candidates.where("passed IS NOT NULL").select("instance_id", "attempt", "patch", "passed")
+    sides = known.groupBy("instance_id").agg(F.count_if("passed").alias("p"), F.count_if(~F.col("passed")).alias("f"))
+    sides = sides.where("p > 0 AND f > 0")
+    placed = ranked(known, ["instance_id", "passed"], order, "place", hot_rows, sides)
+    # How many pairs use a row of the shorter side follows from the counts: more than
+    # ``hot_rows`` are dealt to several copies of it.
+    least = F.least("p", "f")
+    salts = F.ceil(F.ceil(F.greatest("p", "f") / least) / F.lit(hot_rows)).cast("long")
+    longer = F.col("passed") == (F.col("p") > F.col("f"))
+    many = placed.where(longer).withColumns(
+        {"slot": F.col("place") % least, "salt": F.floor((F.col("place") - F.col("place") % least) / least).cast("long") % salts}
+    )
+    few = placed.where(~longer).select(
+        "instance_id", F.col("place").alias("slot"), F.col("attempt").alias("other_attempt"), F.col("patch").alias("other"),
+        F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"),
+    )
+    joined = many.join(few, ["instance_id", "slot", "salt"])
+
+    def of(passing: bool, own: str, other: str, name: str) -> Column:
+        return F.when(F.col("passed") == F.lit(passing), F.col(own)).otherwise(F.col(other)).alias(name)
+
+    return joined.select(
+        "instance_id",
+        F.col("place").alias("pair"),
+        of(True, "attempt", "other_attempt", "passing_attempt"),
+        of(False, "attempt", "other_attempt", "failing_attempt"),
+        of(True, "patch", "other", "chosen"),
+        of(False, "patch", "other", "rejected"),
+    )
+
+
+def pass_fail_all(instances: DataFrame, candidates: DataFrame) -> DataFrame:
+    """:func:`pass_fail` with all passing attempts: the pairs of :func:`matched_attempts`."""
+    issues = instances.select("instance_id", "repo", "problem_statement")
+    joined = lookup_join(matched_attempts(candidates), issues, "instance_id")
+    return _pairs(joined, F.col("rejected"), F.lit("pass_fail"), chosen="chosen")
+
+
 def dpo(pairs: DataFrame) -> DataFrame:
     """(prompt, chosen, rejected) only."""
     return pairs.select("prompt", "chosen", "rejected")
@@ -170,13 +257,23 @@ def preference_pairs(
     results: DataFrame | None = None,
     predictions: DataFrame | None = None,
     make_generator: Callable[[], Callable[..., str]] | None = None,
+    counts: StageCounts | None = None,
     **options,
 ) -> DataFrame:
     """Pairs by ``method``; ``options`` go to the function of that method.
 
     hybrid is the evaluation pairs, where their inputs are given, and all
-    rule-based ones, copies kept.
+    rule-based ones, copies kept. ``counts`` has the rows of every input and of each kind of
+    pair when the result has been written.
     """
+    instances = watched(counts, instances, "instances")
+    results = watched(counts, results, "results")
+    predictions = watched(counts, predictions, "predictions")
+    made = _by_method(instances, method, results, predictions, make_generator, counts, options)
+    return watched(counts, made, "pairs")
+
+
+def _by_method(instances, method, results, predictions, make_generator, counts, options) -> DataFrame:
     if method == "evaluation":
         if results is None or predictions is None:
             raise ValueError("method 'evaluation' needs results and predictions")
@@ -188,8 +285,9 @@ def preference_pairs(
     if method == "rule_based":
         return rule_based(instances)
     if method == "hybrid":
-        ruled = rule_based(instances)
+        ruled = watched(counts, rule_based(instances), "rule_based pairs")
         if results is None or predictions is None:
             return ruled
-        return from_outcomes(instances, predictions, results, **options).unionByName(ruled)
+        judged = from_outcomes(instances, predictions, results, **options)
+        return watched(counts, judged, "evaluation pairs").unionByName(ruled)
     raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.functions.text import preview
+from patchloom.operators.instances import first_with_remainder
 from patchloom.operators.joins import lookup_join
 
 # Fixed value: repositories the evaluation harness cannot run.
@@ -97,6 +98,47 @@ def unsupported_counts(
     )
 
 
+def prefixes(repos: DataFrame) -> DataFrame:
+    """What the ids of the repositories in ``repos`` (repo) begin with: (prefix), each once."""
+    prefix = F.replace("repo", F.lit("/"), F.lit("__")).alias("prefix")
+    return repos.where("repo IS NOT NULL").select(prefix).distinct()
+
+
+def ids_with_prefix(predictions: DataFrame, starts: DataFrame) -> DataFrame:
+    """The distinct ids that begin with one of ``starts`` (prefix, any number of rows).
+
+    Ids are cut to each length that prefixes have (a handful, whatever their number) and
+    equi-joined, so no id is compared with every prefix. Prefixes that many ids begin with
+    are spread over several tasks.
+    """
+    starts = starts.where("prefix IS NOT NULL").select("prefix").distinct()
+    lengths = starts.agg(F.collect_set(F.length("prefix"))).scalar()
+    ids = predictions.where("instance_id IS NOT NULL").select("instance_id").distinct()
+    cut = ids.select("instance_id", F.explode(lengths).alias("_n"))
+    cut = cut.select("instance_id", F.left("instance_id", F.col("_n")).alias("prefix"))
+    return lookup_join(cut, starts, "prefix", "left_semi").select("instance_id").distinct()
+
+
+def drop_unsupported_in(predictions: DataFrame, repos: DataFrame) -> DataFrame:
+    """:func:`drop_unsupported` with the repositories in a table (repo). Null ids are dropped."""
+    found = ids_with_prefix(predictions, prefixes(repos))
+    return lookup_join(predictions.where("instance_id IS NOT NULL"), found, "instance_id", "left_anti")
+
+
+def only_unsupported_in(predictions: DataFrame, repos: DataFrame) -> DataFrame:
+    """What :func:`drop_unsupported_in` leaves out."""
+    found = ids_with_prefix(predictions, prefixes(repos))
+    return lookup_join(predictions, found, "instance_id", "left_semi")
+
+
+def unsupported_samples(
+    predictions: DataFrame, repos: Iterable[str] = UNSUPPORTED_REPOS, count: int = 5
+) -> DataFrame:
+    """The first ``count`` ids that are left out, by id, and how many more there are."""
+    skipped = flag_unsupported(predictions, repos).where("is_unsupported").select("instance_id")
+    return first_with_remainder(skipped, count)
+
+
 def run_summary(submissions: DataFrame, dataset: str) -> DataFrame:
     """Number of predictions per model."""
     return (

@@ -203,3 +203,48 @@ def candidate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             WHEN attempt = 1 THEN concat(' \n', patch, '\n+extra\n')
             WHEN doc_id % 4 <> 0 THEN concat('diff ', patch) END AS response""",
     )
+
+
+def many_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to seven attempts per prediction, of which none, some or all pass."""
+    fanned = predictions(spark, sf_dir).select("*", F.expr("explode(sequence(0, int(doc_id % 7))) AS attempt"))
+    return fanned.selectExpr(
+        "instance_id",
+        "attempt",
+        "concat(patch, attempt) AS patch",
+        "(doc_id + attempt * attempt) % 3 = 0 AS passed",
+    )
+
+
+def candidate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of three requests per instance."""
+    return raw_instances(spark, sf_dir).selectExpr("instance_id", "explode(sequence(0, 2)) AS attempt")
+
+
+def delivered_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to four attempts, of which three were asked for: some twice, some without a
+    text, some not at all."""
+    fanned = raw_instances(spark, sf_dir).selectExpr(
+        "doc_id", "instance_id", "patch", "explode(sequence(0, 3)) AS attempt"
+    )
+    kept = fanned.where("(doc_id + attempt) % 4 <> 0").selectExpr(
+        "*", "explode(sequence(0, int((doc_id + attempt) % 3 = 0))) AS pos"
+    )
+    return kept.selectExpr(
+        "instance_id",
+        "attempt",
+        "CASE WHEN (doc_id + pos) % 5 > 0 THEN concat('answer ', attempt, ' ', pos, ' ', patch) WHEN doc_id % 2 = 0 THEN '' END AS response",
+        "pos",
+    )
+
+
+def unsupported_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many repositories as every seventh instance names with its number, in a table."""
+    return table(spark, sf_dir, "documents").where("doc_id % 7 = 3").selectExpr("concat(source, '/', lang, '-', doc_id) AS repo")
+
+
+def results_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results, and one of an instance that is not there for every fourth of them."""
+    found = results(spark, sf_dir).select("doc_id", "instance_id", "passed")
+    gone = found.where("doc_id % 4 = 1").selectExpr("doc_id", "concat('gone__', doc_id % 3, '-', doc_id) AS instance_id", "passed")
+    return found.unionByName(gone).drop("doc_id")

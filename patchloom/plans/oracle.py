@@ -5,6 +5,7 @@ from __future__ import annotations
 from patchloom.functions import prompts
 from patchloom.functions.text import WHITESPACE
 from patchloom.plans import queries as q
+from patchloom.schemas import METRICS
 
 
 def text(value: str) -> str:
@@ -617,6 +618,117 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
     ),
 }
 
+TABLES["many_attempts"] = (
+    ["predictions"],
+    """
+        SELECT instance_id, attempt, patch || attempt AS patch, (doc_id + attempt * attempt) % 3 = 0 AS passed
+        FROM predictions, (SELECT unnest(range(7)) AS attempt) WHERE attempt <= doc_id % 7""",
+)
+TABLES["matched"] = (
+    ["many_attempts"],
+    """
+        SELECT instance_id, i AS pair, CAST(a.attempt AS INTEGER) AS passing_attempt,
+          CAST(b.attempt AS INTEGER) AS failing_attempt,
+          a.patch AS chosen, b.patch AS rejected
+        FROM (SELECT instance_id, p, f, unnest(range(greatest(p, f))) AS i FROM (
+            SELECT instance_id, count(*) FILTER (passed) AS p, count(*) FILTER (NOT passed) AS f
+            FROM many_attempts GROUP BY instance_id) WHERE p > 0 AND f > 0) n
+          JOIN (SELECT *, row_number() OVER (PARTITION BY instance_id, passed
+              ORDER BY md5(attempt || '|' || patch)) - 1 AS place FROM many_attempts) a
+            USING (instance_id)
+          JOIN (SELECT *, row_number() OVER (PARTITION BY instance_id, passed
+              ORDER BY md5(attempt || '|' || patch)) - 1 AS place FROM many_attempts) b
+            USING (instance_id)
+        WHERE a.passed AND NOT b.passed AND a.place = i % p AND b.place = i % f""",
+)
+TABLES["reconciled"] = (
+    ["instances"],
+    """
+        WITH keys AS (
+          SELECT doc_id, instance_id, patch, attempt,
+            CASE WHEN (doc_id + attempt) % 4 = 0 THEN 0 WHEN (doc_id + attempt) % 3 = 0 THEN 2 ELSE 1 END AS n
+          FROM instances, (SELECT unnest(range(4)) AS attempt)
+        ), best AS (
+          SELECT *, (SELECT min(pos) FROM (SELECT unnest([0, 1]) AS pos) WHERE pos < n AND (doc_id + pos) % 5 > 0) AS hit
+          FROM keys
+        )
+        SELECT instance_id, CAST(attempt AS INTEGER) AS attempt,
+          CASE WHEN attempt = 3 THEN 'unasked' WHEN n = 0 THEN 'lost' WHEN hit IS NULL THEN 'failed'
+            ELSE 'answered' END AS state,
+          CAST(least(n, 1) AS BIGINT) AS n_responses,
+          CASE WHEN hit IS NOT NULL THEN 'answer ' || attempt || ' ' || hit || ' ' || patch
+            WHEN n > 0 AND doc_id % 2 = 0 THEN '' END AS response
+        FROM best WHERE attempt < 3 OR n > 0
+        UNION ALL
+        SELECT instance_id, CAST(attempt AS INTEGER), 'repeated', CAST(n - 1 AS BIGINT), NULL FROM best WHERE n > 1""",
+)
+STATEMENTS["matched_attempts"] = (["matched"], "SELECT * FROM matched")
+STATEMENTS["pairs_pass_fail_all"] = (
+    ["instances", "matched"],
+    f"""SELECT {SFT_PROMPT} AS prompt, chosen, rejected, instance_id, 'pass_fail' AS strategy
+        FROM matched JOIN instances USING (instance_id)""",
+)
+STATEMENTS["reconcile_responses"] = (["reconciled"], "SELECT * FROM reconciled")
+STATEMENTS["pairs_from_answered"] = (
+    ["instances", "reconciled"],
+    f"""SELECT {SFT_PROMPT} AS prompt, patch AS chosen, rejected, instance_id, 'synthetic' AS strategy
+        FROM (SELECT instance_id, trim(response, {text(WHITESPACE)}) AS rejected FROM reconciled
+            WHERE state = 'answered') JOIN instances USING (instance_id)
+        WHERE rejected <> patch""",
+)
+STATEMENTS["stage_counts"] = (
+    ["instances", "results", "predictions", "rule_pairs"],
+    f"""SELECT 'instances' AS stage, count(*) AS n_rows FROM instances
+        UNION ALL SELECT 'results', count(*) FROM results
+        UNION ALL SELECT 'predictions', count(*) FROM predictions
+        UNION ALL SELECT 'rule_based pairs', count(*) FROM rule_pairs
+        UNION ALL SELECT 'evaluation pairs', count(*) FROM ({_EVAL["all"]})
+        UNION ALL SELECT 'pairs', count(*) FROM ({_EVAL["all"]} UNION ALL SELECT * FROM rule_pairs)""",
+)
+_LISTED = """(SELECT 1 FROM documents r WHERE r.doc_id % 7 = 3
+          AND starts_with(instance_id, r.source || '__' || r.lang || '-' || r.doc_id))"""
+STATEMENTS["filter_unsupported_in"] = (
+    ["predictions"],
+    f"SELECT instance_id, patch FROM predictions WHERE NOT EXISTS {_LISTED}",
+)
+STATEMENTS["only_unsupported_in"] = (
+    ["predictions"],
+    f"SELECT instance_id, patch FROM predictions WHERE EXISTS {_LISTED}",
+)
+STATEMENTS["unsupported_samples"] = (
+    ["predictions"],
+    f"""SELECT instance_id, greatest((SELECT count(*) FROM predictions WHERE {UNSUPPORTED}) - 5, 0) AS n_more
+        FROM (SELECT instance_id FROM predictions WHERE {UNSUPPORTED} ORDER BY instance_id LIMIT 5)""",
+)
+STATEMENTS["metrics_per_repo_unmatched"] = (
+    ["results", "instances"],
+    """SELECT repo, count(*) AS total, count(*) FILTER (passed) AS resolved,
+          CAST(count(*) FILTER (passed) / count(*) AS DOUBLE) AS resolve_rate
+        FROM (SELECT coalesce(i.repo, replace(split_part(r.instance_id, '-', 1), '__', '/')) AS repo, passed
+          FROM (SELECT instance_id, passed FROM results
+              UNION ALL SELECT 'gone__' || (doc_id % 3) || '-' || doc_id, passed FROM results WHERE doc_id % 4 = 1) r
+            LEFT JOIN instances i USING (instance_id))
+        GROUP BY repo ORDER BY repo""",
+)
+_SIDES = ", ".join(
+    f"{alias}.{name} AS {side}_{name}"
+    for side, alias in (("base", "b"), ("tuned", "t"))
+    for name in METRICS.names
+)
+STATEMENTS["cmp_document_full"] = (
+    ["results", "results_base"],
+    f"""SELECT {_SIDES}, t.resolved - b.resolved AS resolved_delta,
+          t.resolve_rate - b.resolve_rate AS resolve_rate_delta
+        FROM (SELECT {RATE_ROWS} FROM results) t, (SELECT {RATE_ROWS} FROM results_base) b""",
+)
+STATEMENTS["train_test_split_by_pair"] = (
+    STATEMENTS["pairs_hybrid"][0],
+    f"""SELECT instance_id, strategy, chosen, rejected,
+          CASE WHEN n > 50 AND place <= ceil(n * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split
+        FROM (SELECT *, count(*) OVER () AS n,
+            row_number() OVER (ORDER BY md5('42|' || instance_id || '|' || strategy)) AS place
+          FROM ({STATEMENTS["pairs_hybrid"][1]}))""",
+)
 TABLES["attempts"] = (
     ["predictions"],
     """

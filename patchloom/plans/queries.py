@@ -18,6 +18,7 @@ from patchloom.operators import (
     predictions as pred,
     splits,
 )
+from patchloom.operators.counts import StageCounts
 from patchloom.plans import corpus
 from patchloom.sources import readers, writers
 
@@ -291,6 +292,45 @@ def pairs_pass_fail(spark, sf):
     return pairs.pass_fail(corpus.instances(spark, sf), corpus.candidates(spark, sf))
 
 
+@query
+def matched_attempts(spark, sf):
+    found = pairs.matched_attempts(corpus.many_candidates(spark, sf))
+    return found.select("instance_id", "pair", "passing_attempt", "failing_attempt", "chosen", "rejected")
+
+
+@query
+def pairs_pass_fail_all(spark, sf):
+    return pairs.pass_fail_all(corpus.instances(spark, sf), corpus.many_candidates(spark, sf))
+
+
+@query
+def reconcile_responses(spark, sf):
+    return pairs.reconcile(corpus.candidate_requests(spark, sf), corpus.delivered_responses(spark, sf))
+
+
+@query
+def pairs_from_answered(spark, sf):
+    return pairs.from_candidates(
+        corpus.instances(spark, sf),
+        corpus.delivered_responses(spark, sf),
+        requests=corpus.candidate_requests(spark, sf),
+    )
+
+
+@query
+def stage_counts(spark, sf):
+    counts = StageCounts()
+    made = pairs.preference_pairs(
+        corpus.instances(spark, sf),
+        "hybrid",
+        results=corpus.results(spark, sf),
+        predictions=corpus.predictions(spark, sf),
+        counts=counts,
+    )
+    writers.write_preference_pairs(made, f"{corpus.scratch(spark)}.json")
+    return counts.table(spark)
+
+
 # ---- predictions
 
 
@@ -340,6 +380,23 @@ def filter_unsupported_counts(spark, sf):
     return pred.unsupported_counts(corpus.predictions(spark, sf), UNSUPPORTED)
 
 
+@query
+def filter_unsupported_in(spark, sf):
+    found = corpus.predictions(spark, sf).select("instance_id", "patch")
+    return pred.drop_unsupported_in(found, corpus.unsupported_repos(spark, sf))
+
+
+@query
+def only_unsupported_in(spark, sf):
+    found = corpus.predictions(spark, sf).select("instance_id", "patch")
+    return pred.only_unsupported_in(found, corpus.unsupported_repos(spark, sf))
+
+
+@query
+def unsupported_samples(spark, sf):
+    return pred.unsupported_samples(corpus.predictions(spark, sf), UNSUPPORTED)
+
+
 def _submissions_by_model(spark, sf):
     return corpus.predictions(spark, sf).select(
         "instance_id",
@@ -432,6 +489,11 @@ def metrics_per_repo_joined(spark, sf):
     return metrics.per_repo(corpus.results(spark, sf), corpus.instances(spark, sf))
 
 
+@query
+def metrics_per_repo_unmatched(spark, sf):
+    return metrics.per_repo(corpus.results_elsewhere(spark, sf), corpus.instances(spark, sf))
+
+
 @query
 def metrics_error_types(spark, sf):
     return metrics.error_types(corpus.results(spark, sf))
@@ -515,6 +577,19 @@ def cmp_document(spark, sf):
     )
 
 
+@query
+def cmp_document_full(spark, sf):
+    nested = comparison.document(
+        corpus.results_base(spark, sf), corpus.results(spark, sf), "base.json", "tuned.json"
+    )
+    sides = [
+        F.col(f"{model}.metrics.{name}").alias(f"{side}_{name}")
+        for side, model in (("base", "base_model"), ("tuned", "finetuned_model"))
+        for name in schemas.METRICS.names
+    ]
+    return nested.select(*sides, "improvement.*")
+
+
 # ---- splits
 
 
@@ -533,6 +608,15 @@ def train_test_split_pairs(spark, sf):
     )
 
 
+@query
+def train_test_split_by_pair(spark, sf):
+    # Split up to four times over: pairs are stored once.
+    made = writers.store(pairs_hybrid(spark, sf), corpus.scratch(spark))
+    made = made.withColumn("pair", F.concat_ws("|", "instance_id", "strategy"))
+    found = splits.exact_split(made, "pair", min_rows=splits.DPO_MIN_ROWS)
+    return found.select("instance_id", "strategy", "chosen", "rejected", "split")
+
+
 @query
 def train_test_split_hash(spark, sf):
     return splits.hash_split(corpus.instances(spark, sf).select("instance_id", "repo"))
@@ -552,17 +636,18 @@ def _generated(spark, sf):
     # Nested, so that it travels to the workers by value and they need no copy of
     # this module.
     def stub_generator():
-        def call(prompt):
-            if len(prompt) % 5 == 0:
+        def call(prompts):
+            if any(len(prompt) % 5 == 0 for prompt in prompts):
                 raise ValueError("model gave up")
-            return f"diff --git a/x b/x\n+{len(prompt)}"
+            return [f"diff --git a/x b/x\n+{len(prompt)}" for prompt in prompts]
 
         return call
 
     prompted = corpus.instances(spark, sf).select(
         "instance_id", prompts.inference_prompt().alias("prompt")
     )
-    return generation.generate(prompted, stub_generator).select("instance_id", "patch", "error")
+    found = generation.generate(prompted, stub_generator, batch=16)
+    return found.select("instance_id", "patch", "error")
 
 
 @query

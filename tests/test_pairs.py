@@ -176,3 +176,107 @@ def test_answers_that_are_not_text_fail_their_row_only(spark):
     assert got["1"][0] == "" and "surrogates" in got["1"][1]
     assert got["2"] == (None, None) and got["3"] == ("fine", None)
     assert tuple(generation.summary(generation.generate(df, make)).first()) == (4, 1, 3)
+
+
+def test_a_bad_row_costs_only_itself_in_a_batch(spark):
+    df = spark.range(40).selectExpr("id", "repeat('x', int(id * 7 % 40)) AS prompt", "id % 2 AS kind").coalesce(1)
+
+    def make():
+        def call(prompts, kind):
+            assert len(prompts) == len(kind) <= 8
+            lengths = [len(p) for p in prompts]
+            assert lengths == sorted(lengths)
+            if 13 in lengths:
+                raise ValueError("unlucky")
+            if 20 in lengths and len(lengths) > 1:
+                return ["too few"]
+            return [5 if n == 30 else f"{n} {k} of {len(prompts)}" for n, k in zip(lengths, kind)]
+
+        return call
+
+    got = generation.generate(df, make, options=["kind"], batch=8).collect()
+    assert [r.id for r in got] == list(range(40))
+    by_length = {len(r.prompt): (r.patch, r.error, r.kind) for r in got}
+    assert by_length[13][:2] == ("", "unlucky")
+    assert by_length[30][:2] == ("", "generator returned int, not text")
+    rest = {n: v for n, v in by_length.items() if n not in (13, 30)}
+    assert all(e is None and p.startswith(f"{n} {k} of ") for n, (p, e, k) in rest.items())
+    assert by_length[0][0].endswith("of 8") and by_length[20][0].endswith("of 1")
+    with pytest.raises(ValueError):
+        generation.generate(df, make, batch=0)
+
+
+def test_batches_of_nulls_and_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([("a", None), ("b", "x")], "id string, prompt string").repartition(6)
+    made = tmp_path / "made"
+    made.mkdir()
+
+    def make():
+        import uuid
+
+        (made / uuid.uuid4().hex).touch()
+        return lambda prompts: [p.upper() for p in prompts]
+
+    got = {r.id: (r.patch, r.error) for r in generation.generate(df, make, batch=4).collect()}
+    assert got["b"] == ("X", None) and got["a"][0] == "" and "upper" in got["a"][1]
+    assert 1 <= len(list(made.iterdir())) <= 2
+    assert generation.generate(df.limit(0), make, batch=4).count() == 0
+
+
+def test_every_attempt_is_in_a_pair(spark, instances):
+    columns = "instance_id string, attempt int, patch string, passed boolean"
+    sides = {"i1": (3, 7), "i2": (6, 2), "i3": (4, 4), "i4": (0, 3), "i5": (3, 0)}
+    data = [(i, k, f"{i}{k}", k < p) for i, (p, f) in sides.items() for k in range(p + f)]
+    data += [(None, 0, "x", True), (None, 1, "y", False), ("i1", 99, "z", None)]
+    candidates = spark.createDataFrame(data, columns)
+    for hot_rows in (100_000, 2):
+        found = pairs.matched_attempts(candidates, hot_rows).collect()
+        for i, (p, f) in sides.items():
+            own = [r for r in found if r.instance_id == i]
+            assert len(own) == (max(p, f) if p and f else 0)
+            if own:
+                assert sorted(r.pair for r in own) == list(range(len(own)))
+                assert {r.passing_attempt for r in own} == set(range(p))
+                assert {r.failing_attempt for r in own} == set(range(p, p + f))
+                assert all((r.chosen, r.rejected) == (f"{i}{r.passing_attempt}", f"{i}{r.failing_attempt}") for r in own)
+                uses = [sum(r.passing_attempt == k for r in own) for k in range(p)]
+                assert max(uses) - min(uses) <= 1
+        assert {r.instance_id for r in found} == {"i1", "i2", "i3"}
+    assert pairs.matched_attempts(candidates.limit(0)).count() == 0
+
+
+def test_reconcile(spark, instances):
+    keys = "instance_id string, attempt int"
+    requests = spark.createDataFrame([("i1", 0), ("i1", 1), ("i1", 2), ("i1", 2), ("i2", 0), (None, 0)], keys)
+    given = [("i1", 0, None, 1), ("i1", 0, "b", 2), ("i1", 0, "a", 3), ("i1", 1, "", 1), ("gone", 0, "u", 1), (None, 0, "n", 1)]
+    responses = spark.createDataFrame(given, keys + ", response string, pos int")
+    got = rows(pairs.reconcile(requests, responses))
+    assert got == sorted(
+        [("i1", 0, "answered", 1, "b"), ("i1", 0, "repeated", 2, None), ("i1", 1, "failed", 1, ""), ("i1", 2, "lost", 0, None),
+         ("i2", 0, "lost", 0, None), ("gone", 0, "unasked", 1, "u"), (None, 0, "lost", 0, None), (None, 0, "unasked", 1, "n")],
+        key=repr,
+    )
+    assert {r[2] for r in got} == set(pairs.STATES)
+    made = pairs.from_candidates(instances, responses, requests=requests)
+    assert rows(made.select("instance_id", "rejected")) == [("i1", "b")]
+
+
+def test_stage_counts_need_no_job_of_their_own(spark, instances, tmp_path):
+    from patchloom.operators.counts import StageCounts
+
+    counts = StageCounts()
+    answers = spark.createDataFrame([("i1", "bad")], "instance_id string, patch string")
+    results = spark.createDataFrame([("i1", False), ("i2", True)], "instance_id string, passed boolean")
+    made = pairs.preference_pairs(instances, "hybrid", results=results, predictions=answers, counts=counts)
+    made.write.parquet(str(tmp_path / "pairs"))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    found = counts.rows()
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert found == {
+        "instances": instances.count(), "results": 2, "predictions": 1,
+        "rule_based pairs": pairs.rule_based(instances).count(), "evaluation pairs": 1,
+        "pairs": spark.read.parquet(str(tmp_path / "pairs")).count(),
+    }
+    with pytest.raises(ValueError):
+        counts.watch(made, "pairs")

@@ -53,3 +53,36 @@ def test_summary_and_samples(spark):
     samples = rows(pred.run_samples(subs))
     assert [s[0] for s in samples] == ["i0", "i1", "i2"]
     assert [len(s[1]) for s in samples] == [299, 300, 303]
+
+
+def test_unsupported_repos_in_a_table(spark, no_broadcast):
+    data = [("a__b-1", "x"), ("a__b-1", "y"), ("a__bc-2", ""), ("ab-3", None), ("c", "z"), (None, "n")]
+    found = table(spark, data)
+    for listed, gone in [
+        (["a/b", "zz/z"], {"a__b-1", "a__bc-2"}),
+        (["a/b-1", None, "a/b-1"], {"a__b-1"}),
+        (["a", "c", "cc"], {"a__b-1", "a__bc-2", "ab-3", "c"}),
+        ([""], {"a__b-1", "a__bc-2", "ab-3", "c"}),
+        ([], set()),
+    ]:
+        repos = spark.createDataFrame([(r,) for r in listed], "repo string")
+        kept = pred.drop_unsupported_in(found, repos)
+        assert rows(kept) == sorted([r for r in data if r[0] and r[0] not in gone], key=repr)
+        assert rows(pred.only_unsupported_in(found, repos)) == sorted([r for r in data if r[0] in gone], key=repr)
+        constants = pred.drop_unsupported(found, [r for r in listed if r is not None])
+        assert rows(constants.where("instance_id IS NOT NULL")) == rows(kept)
+
+
+def test_ten_thousand_prefixes_take_no_nested_loop(spark):
+    repos = spark.range(10_000).selectExpr("concat('o', id, '/r') AS repo")
+    found = spark.range(30_000).selectExpr("concat('o', id % 20000, '__r-', id) AS instance_id", "'p' AS patch")
+    kept = pred.drop_unsupported_in(found, repos)
+    assert "NestedLoop" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 10_000
+
+
+def test_first_skipped_ids(spark):
+    found = table(spark, [(f"a__b-{k}", "x") for k in range(9)] + [("c__d-1", "x")])
+    got = rows(pred.unsupported_samples(found, ["a/b"]))
+    assert got == [(f"a__b-{k}", 4) for k in range(5)]
+    assert rows(pred.unsupported_samples(found, ["q/r"])) == []
