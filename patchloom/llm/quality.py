@@ -3,7 +3,8 @@
 Features are words, word pairs and runs of 3 and 5 bytes, hashed to 2^15 places; each of
 the four groups adds up to one per text, so long texts weigh as much as short ones. The
 regression is trained on labelled documents and its score turned into a probability on
-others of them (Platt's method). Texts are scored in Arrow batches with fixed thresholds.
+others of them (Platt's method). Texts are scored in Arrow batches with fixed thresholds;
+a text's score does not depend on the batch it comes in.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BITS = 15
 SAMPLE = 3_000
 #: A document is kept if the probability of good quality is at least this.
 KEEP_FROM = 0.5
+#: L2 penalty and most steps of the fit.
+PENALTY, STEPS = 1e-4, 25
 LEAST_WORDS = 50
 #: Texts are looked at in blocks of about so many bytes.
 BLOCK = 1 << 18
@@ -37,18 +40,21 @@ def _features(block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each feature group: its number, places, and the bounds of each text's places."""
     shift = np.uint64(64 - BITS)
     starts, ends, bounds = block.words()
-    sums = block.prefix(True)
-    hashes = block.span_hash(sums, starts, ends)
+    hashes = block.span_hash(block.prefix(True), starts, ends)
     for group, size in ((0, 1), (1, 2)):
         runs, at = (hashes, bounds) if size == 1 else windows(hashes, bounds, size)
         yield group, (mix(runs + np.uint64(group)) >> shift).astype(np.int32), at
+    small = block.data.astype(np.uint64)
+    small[(small >= 65) & (small <= 90)] += np.uint64(32)
     for group, size in ((2, 3), (3, 5)):
-        # Every run of bytes inside one text; shorter texts have none.
+        # Every run of bytes inside one text, as a number; shorter texts have none.
         lengths = np.maximum(np.diff(block.offsets) - size + 1, 0)
         at = np.concatenate([[0], np.cumsum(lengths)])
         first = np.repeat(block.offsets[:-1] - at[:-1], lengths) + np.arange(at[-1])
-        runs = block.span_hash(sums, first, first + size)
-        yield group, (runs >> shift).astype(np.int32), at
+        runs = np.zeros(len(first), np.uint64)
+        for k in range(size):
+            runs = runs << np.uint64(8) | small[first + k]
+        yield group, (mix(runs + np.uint64(group << 40)) >> shift).astype(np.int32), at
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,18 +66,105 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(block.rows):
                     own, times = np.unique(found[at[i] : at[i + 1]], return_counts=True)
                     places[i].append(own + (group << BITS))
-                    values[i].append(times / max(1, at[i + 1] - at[i]))
+                    values[i].append((times / max(1, at[i + 1] - at[i])).astype(np.float32))
             rows = slice(first, first + block.rows)
             yield pa.record_batch(
                 {
                     "doc_id": batch.column(0)[rows],
                     "label": batch.column(1)[rows],
                     "places": pa.array([np.concatenate(p) for p in places], pa.list_(pa.int32())),
-                    "values": pa.array([np.concatenate(v) for v in values], pa.list_(pa.float64())),
+                    "values": pa.array([np.concatenate(v) for v in values], pa.list_(pa.float32())),
                 }
             )
 
 
+class Rows:
+    """Sparse rows of a training set, one after the other in flat arrays."""
+
+    def __init__(self, rows: list[tuple[float, np.ndarray, np.ndarray]]):
+        self.labels = np.array([y for y, _, _ in rows])
+        self.places = np.concatenate([p for _, p, _ in rows])
+        self.values = np.concatenate([v for _, _, v in rows])
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for _, p, _ in rows])
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.places] * self.values, len(self.labels)) + weights[-1]
+
+    def loss(self, weights: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+        """Mean log loss with an L2 penalty on all but the intercept, and its gradient."""
+        scores, sign = self.scores(weights), 2 * self.labels - 1
+        off = -sign / (1 + np.exp(np.clip(sign * scores, -500, 500))) / len(scores)
+        gradient = np.append(np.bincount(self.places, off[self.row] * self.values, len(weights) - 1), off.sum())
+        inner = np.append(weights[:-1], 0.0)
+        value = np.logaddexp(0, -sign * scores).mean() + penalty / 2 * (inner @ inner)
+        return value, gradient + penalty * inner
+
+
+def regression(rows: Rows, size: int, penalty: float = PENALTY, steps: int = STEPS, kept: int = 8) -> np.ndarray:
+    """Weights and, last, the intercept that minimise :meth:`Rows.loss`: limited-memory BFGS."""
+    weights = np.zeros(size + 1)
+    share = np.clip(rows.labels.mean(), 1e-6, 1 - 1e-6)
+    weights[-1] = np.log(share / (1 - share))
+    value, gradient = rows.loss(weights, penalty)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        direction, alphas = gradient.copy(), []
+        for moved, changed in reversed(pairs):
+            alphas.append((moved @ direction) / (changed @ moved))
+            direction -= alphas[-1] * changed
+        if pairs:
+            moved, changed = pairs[-1]
+            direction *= (moved @ changed) / (changed @ changed)
+        for (moved, changed), alpha in zip(pairs, reversed(alphas)):
+            direction += (alpha - (changed @ direction) / (changed @ moved)) * moved
+        slope, step = gradient @ direction, 1.0 if pairs else 1 / max(1e-12, np.abs(gradient).sum())
+        while True:
+            to = weights - step * direction
+            new_value, new_gradient = rows.loss(to, penalty)
+            if new_value <= value - 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        moved, changed = to - weights, new_gradient - gradient
+        if moved @ changed > 1e-16:
+            pairs = [*pairs[1 - kept :], (moved, changed)]
+        done = abs(value - new_value) <= 1e-7 * max(1.0, abs(value))
+        weights, value, gradient = to, new_value, new_gradient
+        if done:
+            break
+    return weights
+
+
+def calibration(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that make ``slope * score + offset`` the log odds of a label (Platt)."""
+    rows = Rows([(y, np.zeros(1, np.int32), np.array([s])) for y, s in zip(labels, scores)])
+    slope, offset = regression(rows, 1, penalty=0.0, steps=100)
+    return float(slope), float(offset)
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights by place; after them the intercept, slope and offset. None without both labels."""
+    parts: dict[bool, list] = {True: [], False: []}
+    for batch in batches:
+        bounds = batch.column(2).offsets.to_numpy()
+        places, values = (batch.column(k).values.to_numpy() for k in (2, 3))
+        flags, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, (held, label) in enumerate(zip(flags, labels)):
+            own = slice(bounds[i], bounds[i + 1])
+            parts[held].append((label, places[own].copy(), values[own].copy()))
+    if len({label for label, _, _ in parts[False]}) < 2:
+        return
+    size = GROUPS << BITS
+    weights = regression(Rows(parts[False]), size)
+    slope, offset = 1.0, 0.0
+    if len({label for label, _, _ in parts[True]}) == 2:
+        held = Rows(parts[True])
+        slope, offset = calibration(held.scores(weights), held.labels)
+    at = np.flatnonzero(weights[:-1])
+    places = np.concatenate([at, size + np.arange(3)])
+    found = np.concatenate([weights[at], [weights[-1], slope, offset]])
+    yield pa.record_batch({"place": pa.array(places, pa.int32()), "weight": pa.array(found, pa.float64())})
+
+
 @dataclass
 class Model:
     """Weights by group and place; probability = 1 / (1 + exp(-(slope · score + offset)))."""
@@ -84,8 +177,9 @@ class Model:
     def score(self, block: Block) -> np.ndarray:
         total = np.full(block.rows, self.intercept)
         for group, found, at in _features(block):
-            sums = np.concatenate([[0.0], np.cumsum(self.weights[group][found])])
-            total += (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
+            text = np.repeat(np.arange(block.rows), np.diff(at))
+            sums = np.bincount(text, self.weights[group][found], block.rows)
+            total += sums / np.maximum(np.diff(at), 1)
         return total
 
     def probability(self, block: Block) -> np.ndarray:
@@ -98,35 +192,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     ``docs`` has doc_id and text. Rows with a null id, text or label are left out; an id
     that is labelled several times takes its smallest label.
     """
-    # Only the fit needs these; scoring workers stay without them.
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
     known = labels.where("doc_id is not null and quality in (0, 1)")
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
     # Bounded by ``sample`` rows of two numbers.
     texts = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    schema = "doc_id long, label double, places array<int>, values array<double>"
-    rows = store(texts.mapInArrow(_vectors, schema))
-    calibrates = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(4)) == 0
-    size = GROUPS << BITS
-    vector = F.udf(lambda places, values: Vectors.sparse(size, places, values), VectorUDT())
-    rows = rows.select("label", vector("places", "values").alias("features"), calibrates.alias("held"))
-    train, held = rows.where(~F.col("held")), rows.where("held")
-    if train.select("label").distinct().count() < 2:
+    rows = store(texts.mapInArrow(_vectors, "doc_id long, label double, places array<int>, values array<float>"))
+    held = (F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(4)) == 0).alias("held")
+    order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id"), F.col("places")]
+    # At most ``sample`` sparse rows: one task fits them.
+    one = rows.repartition(1).sortWithinPartitions(*order).select(held, "label", "places", "values")
+    found = one.mapInArrow(_train, "place int, weight double").toPandas()
+    if not len(found):
         return None
-    learner = LogisticRegression(regParam=1e-4, maxIter=25, standardization=False)
-    fitted = learner.fit(train)
-    model = Model(fitted.coefficients.toArray().reshape(GROUPS, 1 << BITS), fitted.intercept)
-    score = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
-    scored = fitted.transform(held).select("label", score.alias("features"))
-    if scored.select("label").distinct().count() == 2:
-        platt = LogisticRegression(maxIter=40).fit(scored)
-        model.slope, model.offset = float(platt.coefficients[0]), float(platt.intercept)
-    model.weights = model.weights.astype(np.float32)
-    return model
+    size = GROUPS << BITS
+    dense = np.zeros(size + 3)
+    dense[found["place"].to_numpy()] = found["weight"].to_numpy()
+    intercept, slope, offset = dense[size:].tolist()
+    return Model(dense[:size].reshape(GROUPS, 1 << BITS).astype(np.float32), intercept, slope, offset)
 
 
 def _counts(text: pa.Array, row: int) -> int:
@@ -158,7 +241,7 @@ def _repeated_words(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.bincount(text[marked], minlength=len(lengths))
 
 
-def _rules(model: Model | None, keep_from: float, least_words: int, text_col: str, returned: list[str]):
+def _rules(model: Model | None, keep_from: float, least_words: int, text_col: str, returned: list[str], only_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col)
@@ -176,7 +259,7 @@ def _rules(model: Model | None, keep_from: float, least_words: int, text_col: st
                 good = model.probability(block) if model else np.ones(block.rows)
                 part = batch.slice(first, block.rows)
                 columns = {n: part.column(n) for n in returned}
-                yield pa.record_batch(
+                judged = pa.record_batch(
                     columns
                     | {
                         "n_words": pa.array(n_words, pa.int64()),
@@ -189,6 +272,7 @@ def _rules(model: Model | None, keep_from: float, least_words: int, text_col: st
                         "kept": pa.array(~failed & (good >= keep_from)),
                     }
                 )
+                yield judged.filter(judged.column("kept")) if only_kept else judged
 
     return run
 
@@ -202,16 +286,18 @@ ADDED = (
 def judge(
     docs: DataFrame, model: Model | None, text_col: str = "text",
     keep_from: float = KEEP_FROM, least_words: int = LEAST_WORDS, with_text: bool = True,
+    only_kept: bool = False,
 ) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, the probability ``good`` and ``kept``.
 
     A null text has no words and fails. Without a model only the counts decide. Columns
     that have the name of an added one are replaced; no row is moved. ``with_text=False``
-    leaves the text column out of the result, so that texts are not sent back.
+    leaves the text column out of the result, so that texts are not sent back;
+    ``only_kept=True`` sends back the rows that are kept.
     """
     added = {part.split()[0] for part in ADDED.split(", ")}
     kept = [f for f in docs.schema if f.name not in added and (with_text or f.name != text_col)]
     rows = docs.select(*(F.col(f"`{f.name}`") for f in docs.schema if f.name not in added or f.name == text_col))
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    run = _rules(model, keep_from, least_words, text_col, [f.name for f in kept])
+    run = _rules(model, keep_from, least_words, text_col, [f.name for f in kept], only_kept)
     return rows.mapInArrow(run, ", ".join([*types, ADDED]))

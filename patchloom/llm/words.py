@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Spans are hashed by two polynomials, modulo primes 2^31 - c with these c, and their length.
+#: Modulo a power of two there are short texts that collide for every base.
+_PRIMES = ((1, 1_284_865_837), (19, 1_917_260_531))
+_LOW_BITS = np.uint64((1 << 31) - 1)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BLOCK_BYTES = 4 << 20
 
@@ -25,25 +27,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values(lower: bool) -> np.ndarray:
+def _reduced(x: np.ndarray, c: int) -> np.ndarray:
+    """``x`` below 2^62 modulo 2^31 - c, as a number of at most 32 bits."""
+    for _ in range(2):
+        high = x >> np.uint64(31)
+        x = x & _LOW_BITS
+        x += high if c == 1 else high * np.uint64(c)
+    return x
+
+
+def _byte_values(lower: bool) -> list[np.ndarray]:
     code = np.arange(256, dtype=np.uint64)
     if lower:
         code[65:91] += np.uint64(32)
-    return mix((code + np.uint64(1)) * np.uint64(_STEP))
+    spread = mix((code + np.uint64(1)) * np.uint64(_STEP))
+    return [spread >> np.uint64(33), (spread & np.uint64((1 << 30) - 1)) + np.uint64(1)]
 
 
 _VALUES = {True: _byte_values(True), False: _byte_values(False)}
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _power_table(base: int, size: int) -> np.ndarray:
-    table = _powers.get(base)
+def _power_table(c: int, base: int, size: int) -> np.ndarray:
+    """Powers of ``base`` modulo 2^31 - c, ``size`` of them at least."""
+    table = _powers.get((c, base))
     if table is None or len(table) < size:
-        factors = np.full(max(1 << size.bit_length(), 1 << 16), base, dtype=np.uint64)
-        factors[0] = 1
-        table = np.cumprod(factors, dtype=np.uint64)
+        prime = (1 << 31) - c
+        table = np.ones(1, np.uint64)
+        while len(table) < max(size, 1 << 16):
+            table = np.concatenate([table, table * np.uint64(pow(base, len(table), prime)) % np.uint64(prime)])
         if size <= 4 * BLOCK_BYTES:
-            _powers[base] = table
+            _powers[c, base] = table
     return table
 
 
@@ -54,16 +68,25 @@ class Block:
         self.data, self.offsets = data, offsets
         self.rows = len(offsets) - 1
 
-    def prefix(self, lower: bool) -> np.ndarray:
+    def prefix(self, lower: bool) -> list[np.ndarray]:
         """Running sums from which the hash of any span follows."""
-        size = len(self.data)
-        sums = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[lower][self.data] * _power_table(_BASE, size)[:size], out=sums[1:])
-        return sums
-
-    def span_hash(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        inverse = _power_table(_BASE_INVERSE, len(self.data) + 1)
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + np.uint64(_STEP))
+        size, found = len(self.data), []
+        for (c, base), values in zip(_PRIMES, _VALUES[lower]):
+            sums = np.zeros(size + 1, dtype=np.uint64)
+            np.cumsum(_reduced(values[self.data] * _power_table(c, base, size)[:size], c), out=sums[1:])
+            found.append(sums)
+        return found
+
+    def span_hash(self, sums: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64 bits for each span; equal for equal bytes wherever they stand."""
+        found = mix((ends - starts).astype(np.uint64) * np.uint64(_STEP))
+        for (c, base), upto in zip(_PRIMES, sums):
+            prime = (1 << 31) - c
+            inverse = _power_table(c, pow(base, -1, prime), len(self.data) + 1)
+            own = (upto[ends] - upto[starts]) % np.uint64(prime)
+            own = own * inverse[starts] % np.uint64(prime)
+            found = found * np.uint64(1 << 31) + own if c == 1 else mix(found ^ (own * np.uint64(_BASE)))
+        return found
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and ``bounds``: text i has words bounds[i]:bounds[i+1]."""
