@@ -64,8 +64,11 @@ def require_id(instances: DataFrame, instance_id: str) -> DataFrame:
 def within_patch_length(
     instances: DataFrame, max_patch_length: int = MAX_PATCH_LENGTH
 ) -> DataFrame:
-    """Instances whose patch has at most ``max_patch_length`` characters."""
-    return instances.where(F.length("patch") <= max_patch_length)
+    """Instances whose patch has at most ``max_patch_length`` characters.
+
+    A stored length (``n_chars``) is compared in the scan, without reading the patch."""
+    length = F.col("n_chars") if "n_chars" in instances.columns else F.length("patch")
+    return instances.where(length <= max_patch_length)
 
 
 def sft_examples(

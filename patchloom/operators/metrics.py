@@ -44,6 +44,24 @@ def global_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame
     )
 
 
+def combined(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The metrics of several sets of results together, from the :func:`global_metrics` of each."""
+    counts = [
+        "total_instances", "resolved", "patches_applied", "patches_failed",
+        "total_tests_passed", "total_tests_failed", "total_tests_error",
+    ]
+    none = F.lit(0).cast("long")
+    sums = {name: _total(name, none) for name in counts} | {"total_execution_time": _total("total_execution_time", F.lit(0.0))}
+    rows = sums["total_instances"]
+    rates = {
+        "resolve_rate": _rate(sums["resolved"], rows),
+        "patch_apply_rate": _rate(sums["patches_applied"], rows),
+        "avg_execution_time": _rate(sums["total_execution_time"], rows),
+    }
+    names = [*counts, *rates, "total_execution_time"]
+    return parts.groupBy(*(by or [])).agg(*((sums | rates)[name].alias(name) for name in names))
+
+
 def coverage(results: DataFrame, instances: DataFrame) -> DataFrame:
     """Share of the instances that were evaluated at all; the rates leave out the rest."""
     evaluated = results.agg(F.count_distinct("instance_id").alias("evaluated"))

@@ -7,6 +7,8 @@ on any engine (see ``oracle.py`` for the other engine's SQL).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/scratch/{uuid4().hex}"
 
 
+@contextmanager
+def shared(spark: SparkSession) -> Iterator[None]:
+    """A session that names no shared folder has the local one meanwhile, as in :func:`scratch`."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        spark.conf.set("spark.checkpoint.dir", scratch(spark))
+    yield
+    if not known:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 

@@ -736,6 +736,13 @@ TABLES["attempts"] = (
         FROM predictions, (SELECT unnest(range(3)) AS attempt)""",
 )
 STATEMENTS["read_written_examples"] = STATEMENTS["sft_format"]
+STATEMENTS["read_patch_diffs"] = (
+    ["predictions"],
+    "SELECT instance_id || '/a+b %20' AS instance_id, patch FROM predictions WHERE patch <> ''",
+)
+STATEMENTS["lookup_in_stored"] = STATEMENTS["instance_lookup"]
+STATEMENTS["examples_of_stored"] = STATEMENTS["sft_format"]
+STATEMENTS["metrics_of_a_stream"] = STATEMENTS["metrics_global"]
 STATEMENTS["read_written_pairs"] = (
     STATEMENTS["pairs_hybrid"][0],
     f"SELECT prompt, chosen, rejected, instance_id FROM ({STATEMENTS['pairs_hybrid'][1]})",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from patchloom.operators import (
 from patchloom.operators.counts import StageCounts
 from patchloom.plans import corpus
 from patchloom.sources import readers, writers
+from patchloom.streaming import running
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -451,6 +453,42 @@ def read_bundle_metrics(spark, sf):
     return readers.read_bundle_metrics(spark, path)
 
 
+@query
+def read_patch_diffs(spark, sf):
+    path = corpus.scratch(spark)
+    rows = corpus.submitted(spark, sf).withColumn("instance_id", F.concat("instance_id", F.lit("/a+b %20")))
+    writers.write_patch_diffs(rows, path)
+    return readers.read_patch_files(spark, path, encoded=True)
+
+
+@query
+def lookup_in_stored(spark, sf):
+    path = corpus.scratch(spark)
+    writers.write_instances(corpus.instances(spark, sf), path)
+    return inst.by_id(readers.read_stored_instances(spark, path), LOOKUP_ID).drop("n_chars")
+
+
+@query
+def examples_of_stored(spark, sf):
+    path = corpus.scratch(spark)
+    writers.write_instances(corpus.instances(spark, sf), path)
+    return inst.sft_examples(readers.read_stored_instances(spark, path))
+
+
+@query
+def metrics_of_a_stream(spark, sf):
+    """Results that arrive in two deliveries, a third of them in both."""
+    path, name = corpus.scratch(spark), uuid4().hex
+    results = corpus.results(spark, sf).withColumn("logs", F.lit("")).select("doc_id", *schemas.RESULT.names)
+    for part in ("doc_id % 3 < 2", "doc_id % 3 > 0"):
+        results.where(part).drop("doc_id").write.mode("append").json(path)
+    stream = running.each_once(running.result_stream(spark, path, 2, arrival=True))
+    with corpus.shared(spark):
+        seen = []
+        running.start_once(stream, lambda df, _: seen.append(df), name).awaitTermination()
+    return seen[-1]
+
+
 @query
 def read_written_examples(spark, sf):
     path = f"{corpus.scratch(spark)}.json"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from patchloom import schemas
 from patchloom.operators.instances import first, normalize, require_columns
@@ -52,6 +52,11 @@ def read_instances(
     return instances if dataset is None else instances.withColumn("dataset", F.lit(dataset))
 
 
+def read_stored_instances(spark: SparkSession, path: str) -> DataFrame:
+    """Instances as :func:`writers.write_instances` left them, with ``n_chars``."""
+    return spark.read.schema(StructType([*schemas.INSTANCE, StructField("n_chars", LongType())])).parquet(path)
+
+
 def read_eval_instances(
     spark: SparkSession, path: str, format: str = "parquet", max_instances: int | None = None
 ) -> DataFrame:
@@ -171,13 +176,21 @@ def read_sft_examples(spark: SparkSession, path: str, array: bool = False) -> Da
     return spark.read.schema(schemas.SFT_EXAMPLE).parquet(path)
 
 
-def read_patch_files(spark: SparkSession, path: str) -> DataFrame:
-    """(instance_id, patch) from a directory of ``patch_<id>.diff`` files."""
-    # Names come percent-encoded, with plus signs as they are.
-    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
-    instance_id = F.regexp_extract(name, r"^(?:patch_)?(.*)\.diff$", 1)
+def read_patch_files(spark: SparkSession, path: str, encoded: bool = False) -> DataFrame:
+    """(instance_id, patch) from a directory of ``patch_<id>.diff`` files.
+
+    ``encoded``: names have the percent-encoding that :func:`writers.write_patch_diffs` gives.
+    Spark's file readers pass over empty files.
+    """
+
+    def decoded(name: Column) -> Column:
+        # Plus signs are themselves here.
+        return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+    # Spark gives names percent-encoded.
+    instance_id = F.regexp_extract(decoded(F.col("_metadata.file_name")), r"(?s)^(?:patch_)?(.*)\.diff$", 1)
     return spark.read.text(path, wholetext=True).select(
-        instance_id.alias("instance_id"), F.col("value").alias("patch")
+        (decoded(instance_id) if encoded else instance_id).alias("instance_id"), F.col("value").alias("patch")
     )
 
 

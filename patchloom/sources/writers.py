@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from patchloom import schemas
 from patchloom.operators.metrics import error_types, global_metrics, per_repo
 from patchloom.operators.pairs import dpo
+from patchloom.operators.predictions import unique
 from patchloom.session import shared_folder
+from patchloom.sources.patch_files import FORMAT, PatchFiles
 
 
 def write_dataset(
@@ -104,6 +106,21 @@ def write_submission(submission: DataFrame, path: str, mode: str = "errorifexist
     return write_dataset(submission.select(*schemas.SUBMISSION.names), path, "json", mode)
 
 
+def write_patch_diffs(predictions: DataFrame, path: str, mode: str = "append") -> None:
+    """One ``patch_<id>.diff`` file per prediction, all in one folder, for tools that want files.
+
+    Files appear when all tasks have succeeded; ``read_patch_files(.., encoded=True)`` reads
+    them. ``append`` replaces files of the same ids, ``overwrite`` also removes the others.
+    A null id has no file, a null patch an empty one (which Spark's readers pass over). Each id must be there once (with a
+    ``pos`` column the last counts), else the write fails and leaves no file. As many files
+    as instances, moved by the driver: meant for runs a person looks through.
+    """
+    spark = predictions.sparkSession
+    spark.dataSource.register(PatchFiles)
+    rows = unique(predictions).where("instance_id IS NOT NULL").select("instance_id", "patch")
+    rows.write.format(FORMAT).mode(mode).option("path", path).save()
+
+
 def write_patch_files(predictions: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One directory per instance with its patch as text, for tools that want files.
 
@@ -113,6 +130,25 @@ def write_patch_files(predictions: DataFrame, path: str, mode: str = "errorifexi
     rows.write.mode(mode).partitionBy("instance_id").text(path)
 
 
+def write_instances(
+    instances: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None, row_group_bytes: int = 32 << 20
+) -> int:
+    """Instances as Parquet that lookups and length filters prune; returns the number of rows.
+
+    Rows are dealt by ranges of the id and sorted by it, so an id is in one file and, by the
+    row groups' bounds and Bloom filters, in one row group of it. ``n_chars`` has the length
+    of the patch, so that :func:`instances.within_patch_length` is a pushed-down comparison
+    and patches that are left out are not read.
+    """
+    rows = instances.select(*schemas.INSTANCE.names).withColumn("n_chars", F.length("patch").cast("long"))
+    ranged = rows.repartitionByRange(files, "instance_id") if files else rows.repartitionByRange("instance_id")
+    written = Observation()
+    ranged = ranged.sortWithinPartitions("instance_id").observe(written, F.count(F.lit(1)).alias("rows"))
+    writer = ranged.write.mode(mode).option("parquet.block.size", row_group_bytes)
+    writer.option("parquet.bloom.filter.enabled#instance_id", "true").parquet(path)
+    return written.get["rows"]
+
+
 def store(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet and read it back from there.
 
