@@ -28,7 +28,7 @@ _SLOT_BITS = 19
 #: Pieces of up to so many bytes are merged together in arrays.
 TOGETHER = 64
 #: Words a worker keeps the ids of. It starts again when there are more.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 500_000
 
 
 def byte_symbols() -> list[str]:

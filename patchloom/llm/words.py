@@ -14,7 +14,7 @@ _BASE = 0xD6E8FEB86659FD93
 _PRIMES = ((1, 1_284_865_837), (19, 1_917_260_531))
 _LOW_BITS = np.uint64((1 << 31) - 1)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,11 +52,12 @@ def _power_table(c: int, base: int, size: int) -> np.ndarray:
     """Powers of ``base`` modulo 2^31 - c, ``size`` of them at least."""
     table = _powers.get((c, base))
     if table is None or len(table) < size:
-        prime = (1 << 31) - c
-        table = np.ones(1, np.uint64)
-        while len(table) < max(size, 1 << 16):
-            table = np.concatenate([table, table * np.uint64(pow(base, len(table), prime)) % np.uint64(prime)])
-        if size <= 4 * BLOCK_BYTES:
+        prime, wanted = (1 << 31) - c, max(size, 1 << 16)
+        table = np.ones(1, np.uint32)
+        while len(table) < wanted:
+            more = table[: wanted - len(table)] * np.uint64(pow(base, len(table), prime)) % np.uint64(prime)
+            table = np.concatenate([table, more.astype(np.uint32)])
+        if size <= 2 * BLOCK_BYTES:
             _powers[c, base] = table
     return table
 
