@@ -269,10 +269,11 @@ def near_duplicates(
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     fine = F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite & F.exists("x", lambda v: v != 0)
-    # The largest part first: squares of huge or tiny parts stay in range.
-    top = F.array_max(F.transform("x", F.abs))
+    # The largest part first: squares of huge or tiny parts stay in range. As an argument it
+    # is found once for each vector, inside the lambda it would be for each part.
+    top = F.array_repeat(F.array_max(F.transform("x", F.abs)), F.size("x"))
     good = rows.where(F.coalesce(fine, F.lit(False)))
-    good = good.withColumn("x", F.transform("x", lambda v: v / top + F.lit(0.0)))
+    good = good.withColumn("x", F.zip_with("x", top, lambda v, t: v / t + F.lit(0.0)))
     unique = good.groupBy("x").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("weight"))
     unique = store(unique.select("node", "weight", "x"))
     width = F.size("x").alias("n")
