@@ -8,6 +8,7 @@ to a call without dependencies, found by one join per level. Calls on a cycle ha
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +45,29 @@ def problems(arguments: object, schema: dict | None) -> list[str]:
     return out
 
 
+def _refused(name: str) -> object:
+    raise ValueError(f"{name} is not JSON")
+
+
+def _finite(digits: str) -> float:
+    number = float(digits)
+    return number if math.isfinite(number) else _refused(digits)
+
+
+def parsed(text: str | None) -> tuple[object, str | None]:
+    """The value of JSON arguments, or the text itself and what is wrong with it."""
+    try:
+        value = json.loads(text or "", parse_constant=_refused, parse_float=_finite)
+        canonical(value).encode()
+    except RecursionError:
+        return text, "arguments are nested too deeply"
+    except UnicodeEncodeError:
+        return text, "arguments are not Unicode text"
+    except ValueError:
+        return text, "arguments are not JSON"
+    return value, None
+
+
 def _messages(schemas: dict[str, dict]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,11 +76,8 @@ def _messages(schemas: dict[str, dict]):
             for call_id, name, arguments, result, state in zip(*columns):
                 wrong = []
                 if state not in ("unasked", "repeated_result"):
-                    try:
-                        arguments = json.loads(arguments or "")
-                        wrong = problems(arguments, schemas.get(name))
-                    except ValueError:
-                        wrong = ["arguments are not JSON"]
+                    arguments, fault = parsed(arguments)
+                    wrong = [fault] if fault else problems(arguments, schemas.get(name))
                 parts = {"arguments": arguments, "call_id": call_id, "name": name, "result": result}
                 messages.append(canonical({k: v for k, v in parts.items() if v is not None}))
                 found.append(", ".join(wrong))
@@ -101,7 +122,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], w
     repeated_call or repeated_result. ``level`` is null on a cycle, for results without a
     call and for repeated ones. ``position`` numbers a
     conversation's rows by level, then seq. ``problems`` is what validation found, and
-    ``message`` the canonical JSON. Rows with a null conversation or identifier are
+    ``message`` the canonical JSON. Arguments that are no JSON, nested too deeply to parse, hold
+    a number that is not finite or half a surrogate pair are a problem of their row, which
+    keeps their text. Rows with a null conversation or identifier are
     linked with nothing.
     """
 
