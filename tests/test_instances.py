@@ -9,13 +9,13 @@ from patchloom.operators import instances as inst
 COLUMNS = "instance_id string, repo string, base_commit string, problem_statement string, patch string"
 
 SAMPLE = (
-    "test__test-1",
-    "test/repo",
-    "abc123",
-    "Fix the bug in the code",
-    "--- a/file.py\n+++ b/file.py\n@@ -1,1 +1,1 @@\n-old\n+new",
-    "--- a/test.py\n+++ b/test.py\n@@ -1,1 +1,1 @@\n-old_test\n+new_test",
-    "Look at the function definition",
+    "acme__rocket-77",
+    "acme/rocket",
+    "9f1c2e",
+    "Countdown skips 7 when the clock is in UTC+14",
+    "diff --git a/launch/clock.py b/launch/clock.py\n--- a/launch/clock.py\n+++ b/launch/clock.py\n@@ -4 +4 @@\n-    n -= 2\n+    n -= 1",
+    "--- a/launch/test_clock.py\n+++ b/launch/test_clock.py\n@@ -9 +9 @@\n-assert tick(8) == 6\n+assert tick(8) == 7",
+    "tick() is also called by abort()",
     None,
     None,
 )
@@ -27,10 +27,11 @@ def sample(spark):
 
 
 def test_missing_optional_columns_get_defaults(spark):
-    raw = spark.createDataFrame([("test-1", "test/repo", "abc", "Fix bug", "diff")], COLUMNS)
+    given = ("o__r-5", "o/r", "c0ffee", "It\ncrashes", "+fixed")
+    raw = spark.createDataFrame([given], COLUMNS)
     got = inst.normalize(raw)
     assert got.columns == schemas.INSTANCE.names
-    assert tuple(got.first()) == ("test-1", "test/repo", "abc", "Fix bug", "diff", "", None, None, None)
+    assert tuple(got.first()) == (*given, "", None, None, None)
 
 
 def test_missing_required_columns_are_all_named(spark):
@@ -40,10 +41,12 @@ def test_missing_required_columns_are_all_named(spark):
 
 def test_prompt_with_and_without_hints(sample):
     plain, hinted = sample.select(prompts.sft_prompt(), prompts.sft_prompt(True)).first()
-    assert "Repository: test/repo\n" in plain and "Fix the bug in the code" in plain
-    assert "### Hints:" not in plain
-    assert "### Hints:\nLook at the function definition\n" in hinted
-    assert plain.endswith("\n### Patch:\n") and hinted.endswith("\n### Patch:\n")
+    assert f"Repository: {SAMPLE[1]}\n" in plain and SAMPLE[3] in plain
+    # Hints are one section more, and nothing else changes.
+    assert plain.endswith("\n### Patch:\n") and SAMPLE[6] not in plain
+    assert hinted.replace(f"### Hints:\n{SAMPLE[6]}\n", "").split() == plain.split()
+    assert f"### Hints:\n{SAMPLE[6]}\n" in hinted
+    assert hinted.endswith("\n### Patch:\n")
 
 
 @pytest.mark.parametrize("hints", [None, ""])
@@ -70,19 +73,19 @@ def test_sft_examples(sample):
 
 def test_patch_length_limit_is_inclusive(spark):
     sizes = [10_000, 8_001, 8_000, 1]
-    data = [(f"long-{n}", "test/repo", "abc", "Test", "é" * n) for n in sizes]
+    data = [(f"long-{n}", "o/r", "c", "p", "é" * n) for n in sizes]
     df = inst.normalize(spark.createDataFrame(data, COLUMNS))
     assert rows(inst.sft_examples(df).select("instance_id")) == [("long-1",), ("long-8000",)]
 
 
 def test_first_with_remainder(spark):
-    df = spark.createDataFrame([(f"test-{i}",) for i in range(10)], "instance_id string")
-    assert rows(inst.first_with_remainder(df, 3)) == [(f"test-{i}", 7) for i in range(3)]
+    df = spark.createDataFrame([(f"o__r-{i}",) for i in range(10)], "instance_id string")
+    assert rows(inst.first_with_remainder(df, 3)) == [(f"o__r-{i}", 7) for i in range(3)]
     assert {r.n_more for r in inst.first_with_remainder(df, 30).collect()} == {0}
 
 
 def test_lookup(sample):
-    assert inst.require_id(sample, "test__test-1").count() == 1
+    assert inst.require_id(sample, SAMPLE[0]).count() == 1
     assert inst.by_id(sample, "other").count() == 0
     with pytest.raises(ValueError, match="instance not found: other"):
         inst.require_id(sample, "other")

@@ -24,19 +24,25 @@ def table(spark):
 
 @pytest.fixture
 def sample(table):
+    """Four runs: one good, one that broke, one whose patch was refused, one cut off."""
     return table(
-        result("test-1", True, execution_time=10.5),
-        result("test-2", False, execution_time=8.2, error_message="Test failed"),
-        result("test-3", False, execution_time=2.1, patch_applied=False,
-               error_message="Patch did not apply"),
+        result("acme__rocket-1", True, tests_passed=12, execution_time=0.5),
+        result("acme__rocket-2", False, tests_passed=3, tests_failed=4, execution_time=1.25,
+               error_message="2 assertions"),
+        result("acme__sled-9", False, execution_time=0.25, patch_applied=False,
+               error_message="cannot apply patch to sled.py"),
+        result("solo-1", False, tests_error=1, execution_time=30.0, error_message="TIMEOUT after 30 s"),
     )
 
 
 def test_global_metrics(sample):
-    got = metrics.global_metrics(sample).first()
-    assert (got.total_instances, got.resolved, got.patches_applied, got.patches_failed) == (3, 1, 2, 1)
-    assert got.resolve_rate == pytest.approx(1 / 3)
-    assert got.avg_execution_time == pytest.approx((10.5 + 8.2 + 2.1) / 3)
+    got = metrics.global_metrics(sample).first().asDict()
+    assert got == {
+        "total_instances": 4, "resolved": 1, "patches_applied": 3, "patches_failed": 1,
+        "total_tests_passed": 15, "total_tests_failed": 4, "total_tests_error": 1,
+        "resolve_rate": 0.25, "patch_apply_rate": 0.75,
+        "avg_execution_time": 8.0, "total_execution_time": 32.0,
+    }
 
 
 @pytest.mark.parametrize("passed, rate", [(True, 1.0), (False, 0.0)])
@@ -56,7 +62,7 @@ def test_empty_input_is_all_zero(table):
 
 
 def test_error_types(sample):
-    assert rows(metrics.error_types(sample)) == [("other", 1), ("patch_apply_failed", 1)]
+    assert rows(metrics.error_types(sample)) == [("other", 1), ("patch_apply_failed", 1), ("timeout", 1)]
 
 
 def test_per_repo_by_id_and_by_lookup(spark, table):
@@ -78,8 +84,8 @@ def test_leaderboard_and_card(sample):
 
     got = metrics.leaderboard(sample.withColumn("model", F.lit("m"))).first()
     assert got.asDict() == {
-        "model": "m", "method": "Direct Generation", "resolved": 1, "total": 3,
-        "resolve_rate": 33.33, "patch_apply_rate": 66.67,
+        "model": "m", "method": "Direct Generation", "resolved": 1, "total": 4,
+        "resolve_rate": 25.0, "patch_apply_rate": 75.0,
     }
     card = metrics.card_metrics(sample.limit(1).select(F.lit(7).alias("resolved"))).first()
     assert card.asDict() == {"resolved": "7", "resolve_rate": "N/A", "patches_applied": "N/A"}
@@ -98,8 +104,8 @@ def test_secondary_rates(table):
 
 
 def test_coverage(spark, sample):
-    instances = spark.createDataFrame([(f"test-{i}",) for i in range(4)], "instance_id string")
-    assert tuple(metrics.coverage(sample, instances).first()) == (3, 4, 0.75)
+    instances = spark.createDataFrame([(f"o__r-{i}",) for i in range(5)], "instance_id string")
+    assert tuple(metrics.coverage(sample, instances).first()) == (4, 5, 0.8)
 
 
 def test_comparison(table):

@@ -86,11 +86,11 @@ def test_methods(instances, predictions, results):
 
 def test_dpo_columns(spark):
     given = spark.createDataFrame(
-        [("Fix this bug", "good patch", "bad patch", "test-1")], schemas.PREFERENCE_PAIR
+        [("Steer the sled", "+steer(0)", "+steer(9)", "acme__sled-9")], schemas.PREFERENCE_PAIR
     )
     got = pairs.dpo(given)
     assert got.columns == ["prompt", "chosen", "rejected"]
-    assert rows(got) == [("Fix this bug", "good patch", "bad patch")]
+    assert rows(got) == [("Steer the sled", "+steer(0)", "+steer(9)")]
 
 
 def test_requests(instances):

@@ -19,22 +19,22 @@ def put(tmp_path):
 
 
 RECORD = {
-    "instance_id": "test-1", "repo": "test/repo", "base_commit": "abc",
-    "problem_statement": "Fix\nbug", "patch": "diff",
+    "problem_statement": "Sled drifts\nleft \"on ice\"", "repo": "acme/sled", "patch": "+steer(0)\n",
+    "instance_id": "acme__sled-9", "base_commit": "77aa", "unknown": {"field": [1]},
 }
 
 
 def test_instances_from_json_and_parquet(spark, put, tmp_path):
-    lines = put("i.json", json.dumps(RECORD) + "\n\n" + json.dumps({**RECORD, "instance_id": "test-2", "test_patch": "t"}))
+    lines = put("i.json", json.dumps(RECORD) + "\n\n" + json.dumps({**RECORD, "instance_id": "acme__sled-8", "test_patch": "+assert"}))
     got = readers.read_instances(spark, lines, "json", dataset="lite")
     assert rows(got.select("instance_id", "test_patch", "dataset")) == [
-        ("test-1", "", "lite"), ("test-2", "t", "lite"),
+        ("acme__sled-8", "+assert", "lite"), ("acme__sled-9", "", "lite"),
     ]
     assert readers.read_instances(spark, put("a.json", [RECORD]), "json", array=True).count() == 1
     stored = str(tmp_path / "i.parquet")
     got.select(*schemas.INSTANCE.names).write.parquet(stored)
     again = readers.read_eval_instances(spark, stored, max_instances=1)
-    assert again.columns == schemas.EVAL_COLUMNS and rows(again.select("instance_id")) == [("test-1",)]
+    assert again.columns == schemas.EVAL_COLUMNS and rows(again.select("instance_id")) == [("acme__sled-8",)]
     with pytest.raises(ValueError):
         readers.read_instances(spark, stored, "csv")
     with pytest.raises(ValueError):
@@ -49,7 +49,7 @@ def test_eval_instances_read_five_columns(spark, tmp_path):
     assert "base_commit" in schema and "problem_statement" not in schema
 
 
-PAIRS = [("test-1", "patch 1"), ("test-2", "patch }, {2\n")]
+PAIRS = [("acme__sled-1", "+one"), ("acme__sled-2", "+} , {\n-[\"")]
 
 
 def values(df):
