@@ -3,7 +3,7 @@ op3 (permutation), op4 (checksums), op6 and op8 (tokens), op10 (model), and the
 
 from __future__ import annotations
 
-from patchloom.llm.secret_scan import CLASSES, KINDS, TERMS, WINDOW
+from patchloom.llm.secret_scan import CLASSES, KINDS, ONE_CASE, TERMS, WINDOW, CharacterClass
 from patchloom.llm.sharding import SEED
 
 _BLANK = r"[ \t\n\x0B\x0C\r]"
@@ -43,39 +43,44 @@ _ASSIGN = (
 def _kind(name: str, pattern: str, good: str) -> str:
     """Spans of one kind; ``good`` is a condition on the match m."""
     return f"""
-    SELECT doc_id, s AS start, s + length(m) AS stop, '{name}' AS kind, {KINDS.index(name)} AS place FROM (
-        SELECT doc_id, m, sum(length(gap) + CASE WHEN k > 1 THEN length(before) ELSE 0 END)
-            OVER (PARTITION BY doc_id ORDER BY k) AS s
+    SELECT row_id, s AS start, s + length(m) AS stop, '{name}' AS kind, {KINDS.index(name)} AS place FROM (
+        SELECT row_id, m, sum(length(gap) + CASE WHEN k > 1 THEN length(before) ELSE 0 END)
+            OVER (PARTITION BY row_id ORDER BY k) AS s
         FROM (
-            SELECT doc_id, unnest(range(1, len(ms) + 1)) AS k, unnest(ms) AS m,
+            SELECT row_id, unnest(range(1, len(ms) + 1)) AS k, unnest(ms) AS m,
                 unnest(gaps[1:len(ms)]) AS gap, unnest(list_concat([''], ms[1:len(ms) - 1])) AS before
-            FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps
+            FROM (SELECT row_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps
                   FROM texts) WHERE len(ms) > 0
         )
     ) WHERE {good}"""
 
 
-def _entropy(index: int) -> str:
-    c = CLASSES[index]
-    terms = f"{TERMS}"
-    needs = " AND ".join(f"regexp_matches(m, '{n}')" for n in c.needs)
+def _entropy(c: CharacterClass) -> str:
+    """Runs that hold a candidate: a stretch between allowed words with what the class needs
+    and a window of enough entropy."""
+    needs = " AND ".join(f"regexp_matches(p, '{n}')" for n in c.needs)
     window = (
-        f"list_sum([({terms})[(n + 1)::BIGINT] FOR n IN map_values(list_histogram(string_split(substr(m, i, {WINDOW}), '')))])"
+        f"list_sum([({TERMS})[(n + 1)::BIGINT] FOR n IN map_values(list_histogram(string_split(substr(p, i, {WINDOW}), '')))])"
     )
-    best = f"list_min([{window} FOR i IN range(1, length(m) - {WINDOW} + 2)])"
-    allowed = "[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]|[a-z]{10,}"
-    good = f"NOT regexp_matches(m, '{allowed}') AND {needs} AND {best} <= {c.most}"
+    best = f"list_min([{window} FOR i IN range(1, length(p) - {WINDOW} + 2)])"
+    stretches = f"string_split_regex(m, '{c.allowed}')"
+    good = f"len([p FOR p IN {stretches} IF CASE WHEN length(p) >= {WINDOW} AND {needs} THEN {best} <= {c.most} ELSE false END]) > 0"
     return _kind(c.kind, c.pattern, good)
 
 
 OP2 = f"""
-WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-spans AS (
+WITH texts AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS t FROM documents),
+wide AS (
     {_kind("assign", _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6")}
     UNION ALL {_kind("access", "AKIA[A-Z0-9]+", "length(m) >= 20")}
     UNION ALL {_kind("hex", "[0-9a-f]+", "length(m) >= 24")}
-    UNION ALL {_entropy(0)}
-    UNION ALL {_entropy(1)}
+    UNION ALL {" UNION ALL ".join(_entropy(c) for c in CLASSES)}
+), own AS (
+    {" UNION ALL ".join(_entropy(c) for c in ONE_CASE)}
+), spans AS (
+    SELECT * FROM wide
+    UNION ALL SELECT * FROM own WHERE NOT EXISTS (
+        SELECT 1 FROM wide WHERE wide.row_id = own.row_id AND wide.start <= own.start AND wide.stop >= own.stop)
 )
 SELECT doc_id,
     count(*) FILTER (kind = 'assign') AS n_assign,
@@ -85,7 +90,7 @@ SELECT doc_id,
         FILTER (place < 3), '')) AS base_sha256,
     coalesce(string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, place)
         FILTER (place IS NOT NULL), '') AS spans
-FROM documents LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+FROM texts LEFT JOIN spans USING (row_id) GROUP BY row_id, doc_id
 """
 
 #: op4 without text_crc32, which SQL has no function for; a test compares the rest.

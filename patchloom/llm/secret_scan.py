@@ -171,10 +171,13 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``n_assign``, ``n_access``, ``n_hex``, ``base`` and ``secrets`` to ``docs``.
 
     Both are arrays of (start, end, kind), by start and then kind: those of the fixed
-    patterns, and all. A null text is empty. Columns of these names are replaced; no row
-    is moved, so hot sources and repeated rows do not matter.
+    patterns, and all. A null text is empty. Columns of these names are replaced, all others
+    stay whatever they are called; no row is moved, so hot sources and repeated rows do not
+    matter.
     """
-    df = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    added = {"n_assign", "n_access", "n_hex", "base", "secrets"}
+    given = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    df = docs.select(F.struct(*given).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     for pattern, name in ((ASSIGN, "_assign"), (ACCESS, "_access"), (HEX.replace("+", f"{{{HEX_LEAST},}}"), "_hex")):
         df = matches(df, "_text", pattern, name)
     df = df.withColumns(
@@ -204,16 +207,14 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
             every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
         )
 
-    df = df.withColumns(
-        {
-            "n_assign": F.size("_assign").cast("long"),
-            "n_access": F.size("_access").cast("long"),
-            "n_hex": F.size("_hex").cast("long"),
-            "base": ordered(*KINDS[:3]),
-            "secrets": ordered(*KINDS),
-        }
+    return df.select(
+        "_row.*",
+        F.size("_assign").cast("long").alias("n_assign"),
+        F.size("_access").cast("long").alias("n_access"),
+        F.size("_hex").cast("long").alias("n_hex"),
+        ordered(*KINDS[:3]).alias("base"),
+        ordered(*KINDS).alias("secrets"),
     )
-    return df.drop("_text", *(f"_{k}" for k in KINDS))
 
 
 def listed(spans: Column) -> Column:

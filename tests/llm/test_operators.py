@@ -127,15 +127,29 @@ def spans_of(text):
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     base = sorted(out)
-    for k, c in enumerate(secret_scan.CLASSES):
+
+    def candidate(c, run):
+        for p in re.split(c.allowed, run):
+            if len(p) >= secret_scan.WINDOW and all(re.search(n, p) for n in c.needs):
+                sums = [
+                    sum(secret_scan.TERMS[n] for n in Counter(p[i : i + secret_scan.WINDOW]).values())
+                    for i in range(len(p) - secret_scan.WINDOW + 1)
+                ]
+                if min(sums) <= c.most:
+                    return True
+        return False
+
+    place = 3
+    for c in secret_scan.CLASSES:
+        out += [(m.start(), place, m.end(), c.kind) for m in re.finditer(c.pattern, text) if candidate(c, m[0])]
+        place += 1
+    wide = list(out)
+    for c in secret_scan.ONE_CASE:
         for m in re.finditer(c.pattern, text):
-            mixed = all(re.search(n, m[0]) for n in c.needs) and not re.search(secret_scan.ALLOWED, m[0])
-            sums = [
-                sum(secret_scan.TERMS[n] for n in Counter(m[0][i : i + secret_scan.WINDOW]).values())
-                for i in range(len(m[0]) - secret_scan.WINDOW + 1)
-            ]
-            if mixed and min(sums) <= c.most:
-                out.append((m.start(), 3 + k, m.end(), c.kind))
+            held = any(s <= m.start() and m.end() <= e for s, _, e, _ in wide)
+            if not held and candidate(c, m[0]):
+                out.append((m.start(), place, m.end(), c.kind))
+        place += 1
     name = lambda spans: ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
     return name(base), name(out)
 
@@ -177,6 +191,13 @@ def test_secrets_beside_allowed_words_and_of_one_case(spark):
     plain = ["internationalization/administration_2024/01", "sampleexampledummysampleexample12", "x" * 60 + "1234"]
     rows += [(1000 + i, t) for i, t in enumerate(plain)]
     got = secret_scan.find_secrets(table(spark, rows)).select("doc_id", "text", "secrets", secret_scan.redacted(F.col("text"), F.col("secrets"))).collect()
+    every = secret_scan.find_secrets(table(spark, rows)).select("text", secret_scan.listed(F.col("secrets"))).collect()
+    assert all(spans == spans_of(text)[1] for text, spans in every)
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows + [(1, None), (1, "see AKIA" + "B2" * 12)])
+    assert sorted(r[5] for r in duck.sql(oracle.OP2).fetchall()) == sorted([s for _, s in every] + ["", spans_of("see AKIA" + "B2" * 12)[1]])
+    assert {k.split(":")[0] for _, s in every for k in s.split(",") if k} >= {"entropy_base64", "entropy_upper", "entropy_lower"}
     lost = [made[r[0]] for r in got if r[0] < 1000 and made[r[0]][1] in r[3]]
     assert len(lost) <= 0.03 * len(made), lost
     assert all(r[3] == r[1] for r in got if r[0] >= 1000)
@@ -184,6 +205,14 @@ def test_secrets_beside_allowed_words_and_of_one_case(spark):
     assert [s.kind for s in held.secrets if s.kind == "entropy_lower"] == []
 
 
+def test_secrets_leave_other_columns_alone(spark):
+    names = ["doc_id", "text", "_text", "_hex", "_found", "_entropy_upper", "_row", "a.b", "base"]
+    df = spark.createDataFrame([(1, "x " + "0a" * 12, "t", "h", "f", "e", "r", "d", "old")], names)
+    got = secret_scan.find_secrets(df).first().asDict()
+    assert {n: got[n] for n in names[:-1]} == dict(zip(names[:-1], df.first()))
+    assert got["n_hex"] == 1 and len(got["base"]) == 1
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 10, 1000, 4097):
         assert sorted(token_output.feistel(np.arange(n), n)) == list(range(n))
