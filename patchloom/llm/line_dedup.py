@@ -110,40 +110,39 @@ def dedup_lines(
     ``least_length`` code points in at least ``least_documents`` rows lose their lines
     everywhere but in the rows with the largest id among them. A null or empty text is
     one empty line. A null id counts as smaller than any other; rows that share an id
-    are counted each and treated alike. Columns of the added names are replaced.
+    are counted each and treated alike. Columns of the added names are replaced, all others
+    stay whatever they are called.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    low, high = keyed.agg(F.min("doc_id"), F.max("doc_id")).first()
-    step = max(1, -(-((high or 0) - (low or 0) + 1) // batches))
+    hashes = keyed.select("doc_id", F.explode(_long_hashes(F.col("_text"), least_length)).alias("h")).select("doc_id", "h.*")
+    # Batches of about the same size, whatever the ids.
+    batch = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(batches))
     runs = LineRuns(spark)
-    for b in range(batches):
-        start = (low or 0) + b * step
-        inside = (F.col("doc_id") >= start) & (F.col("doc_id") < start + step)
-        batch = keyed.where(inside | F.col("doc_id").isNull() if b == 0 else inside)
-        hashes = batch.select("doc_id", F.explode(_long_hashes(F.col("_text"), least_length)).alias("h"))
-        runs.add(hashes.select("doc_id", "h.*"))
-    frequent = store(runs.frequent(least_documents).select(*_HASH, "keeper"))
-    runs.close()
-
-    hashes = keyed.select("doc_id", F.explode(_long_hashes(F.col("_text"), least_length)).alias("h"))
-    hits = hashes.select("doc_id", "h.*").join(frequent, _HASH)
+    try:
+        for b in range(batches):
+            own = keyed.where(batch == b).select("doc_id", F.explode(_long_hashes(F.col("_text"), least_length)).alias("h"))
+            runs.add(own.select("doc_id", "h.*"))
+        frequent = store(runs.frequent(least_documents).select(*_HASH, "keeper"))
+    finally:
+        runs.close()
+
+    hits = hashes.join(frequent, _HASH)
     hits = hits.where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    gone = hits.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_set(F.struct(*_HASH)).alias("_gone"))
-    same = docs[id_col].cast("long").eqNullSafe(gone["_doc_id"])
-    joined = docs.join(gone, same, "left").drop("_doc_id")
-    lines = _lines(F.col(text_col))
-    joined = joined.withColumn("_lines", lines)
+    gone = hits.groupBy("doc_id").agg(F.collect_set(F.struct(*_HASH)).alias("_gone"))
+    # The row as a whole, so that no column of it can be taken for one of these.
+    added = {"n_lines", "n_dropped", "kept_text"}
+    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added)).alias("_row")
+    whole = docs.select(given, F.col(id_col).cast("long").alias("_id"), _lines(F.col(text_col)).alias("_lines"))
+    joined = whole.join(gone, F.col("_id").eqNullSafe(F.col("doc_id")), "left")
     stays = F.filter(
         "_lines",
         lambda line: (F.length(line) < least_length) | ~F.array_contains("_gone", _hashed(line_key(line))),
     )
     joined = joined.withColumn("_stays", F.when(F.col("_gone").isNotNull(), stays).otherwise(F.col("_lines")))
-    out = joined.withColumns(
-        {
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": (F.size("_lines") - F.size("_stays")).cast("long"),
-            "kept_text": F.array_join("_stays", "\n"),
-        }
+    return joined.select(
+        "_row.*",
+        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("_lines") - F.size("_stays")).cast("long").alias("n_dropped"),
+        F.array_join("_stays", "\n").alias("kept_text"),
     )
-    return out.drop("_lines", "_stays", "_gone")

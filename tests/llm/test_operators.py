@@ -443,6 +443,15 @@ def test_lines(spark, texts):
         assert got[d].kept_text == "\n".join(stay)
     assert dropped
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
+    names = ["doc_id", "text", "_gone", "_lines", "_stays", "_row", "_id", "h1", "n_lines"]
+    clash = spark.createDataFrame([(i, "long " * 10 + "\n%d" % i, "g", "l", "s", "r", "i", "h", "old") for i in range(5)], names)
+    kept = line_dedup.dedup_lines(clash).collect()
+    assert all(tuple(r[n] for n in names[2:-1]) == ("g", "l", "s", "r", "i", "h") for r in kept)
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in kept) == [(i, 2, int(i < 4)) for i in range(5)]
+    before = {r[0] for r in spark.sql("SHOW DATABASES").collect()}
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        line_dedup.dedup_lines(clash.withColumn("text", F.expr("string(1 / (doc_id - 3))")))
+    assert {r[0] for r in spark.sql("SHOW DATABASES").collect()} == before
     nulls = line_dedup.dedup_lines(table(spark, [(None, "n" * 50)] * 5)).collect()
     assert [r.n_lines for r in nulls] == [1] * 5
 
