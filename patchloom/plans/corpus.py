@@ -55,9 +55,11 @@ def shared(spark: SparkSession) -> Iterator[None]:
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         spark.conf.set("spark.checkpoint.dir", scratch(spark))
-    yield
-    if not known:
-        spark.conf.unset("spark.checkpoint.dir")
+    try:
+        yield
+    finally:
+        if not known:
+            spark.conf.unset("spark.checkpoint.dir")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,9 @@ from patchloom.plans import corpus
 from patchloom.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-RANKING = {"train_test_split", "train_test_split_pairs"}  # over bounded tables
+RANKING = {"train_test_split", "train_test_split_pairs", "train_test_split_by_pair"}  # over bounded tables
+RANKING |= {"read_prediction_arrays", "read_result_bundle", "read_bundle_metrics"}  # a row for each split of a file
+PLACING = {"matched_attempts", "pairs_pass_fail_all"}  # by key and part of a hot key
 GENERATING = {"batch_generate_stub", "generation_summary"}
 
 
@@ -21,7 +23,9 @@ def test_no_python_products_or_rankings(spark, no_broadcast, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", text)
     assert ("MapInPandas" in text) == (name in GENERATING)
-    assert ("+- Window " in text) == (name in RANKING)
+    assert ("+- Window " in text) == (name in RANKING | PLACING)
+    if name in PLACING:
+        assert all("_bucket" in w or "sum(" in w for w in re.findall(r"\+- Window (.*)", text))
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
 
 
