@@ -3,9 +3,10 @@
 Only the histogram of lengths, at most ``limit`` rows, is looked at in one place. Lengths
 are rounded to a few classes; patterns are the ways to fill a sequence with at most
 ``MOST`` documents of these classes. Non-negative least squares say how often each pattern
-is used so that the classes are used up; the numbers are rounded down. A pattern lays its
-longer documents; its last one and all documents that no pattern took are residual. They
-are packed by exact length, longest first, each into the fullest sequence with room. The
+is used so that the classes are used up; the numbers are rounded down. A pattern lays all its
+documents, each the longest of its class that has room. Documents that no pattern took are
+residual: they are packed by exact length, longest first, each into the fullest sequence
+with room, those that patterns began included. The
 plan names lengths, not documents: a document takes the place that belongs to its rank
 among those of its length.
 """
@@ -101,16 +102,15 @@ def plan(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[int, ...],
     of_class = [np.flatnonzero(of == c)[::-1].tolist() for c in range(classes + 1)]
     for j in np.argsort(-times):
         todo, way = int(times[j]), ways[j]
-        laid = way if len(way) == 1 else way[:-1]
         while todo > 0:
             chosen: list[int] = []
-            for c in laid:
+            for c in way:
                 room = limit - sum(chosen)
                 n = next((n for n in of_class[c] if n and n <= room and left[n] > chosen.count(n)), 0)
                 if not n:
                     break
                 chosen.append(n)
-            if len(chosen) < len(laid):
+            if len(chosen) < len(way):
                 break
             repeats = min([todo, *(int(left[n]) // chosen.count(n) for n in chosen)])
             for n in chosen:

@@ -213,6 +213,23 @@ def test_secrets_leave_other_columns_alone(spark):
     assert got["n_hex"] == 1 and len(got["base"]) == 1
 
 
+def test_patterns_are_laid_whole_and_reach_the_bound():
+    rng = np.random.default_rng(9)
+    for lengths in (rng.geometric(1 / 900, 4000), rng.integers(1, 4097, 3000), np.full(999, 1365), rng.choice([4096, 2048, 1024, 100], 2000)):
+        counts = np.bincount(np.minimum(lengths, 4096), minlength=4097)
+        sequences = packing.plan(counts)
+        used = np.zeros(4097, int)
+        for row, times in sequences:
+            assert sum(row) <= 4096
+            for n in row:
+                used[n] += times
+        assert (used == counts).all()
+        bound = -(-int(counts @ np.arange(4097)) // 4096)
+        if lengths[0] != 1365 and len(set(lengths.tolist())) > 10 and lengths.mean() < 1500:
+            assert sum(t for _, t in sequences) == bound
+        assert sum(t for _, t in sequences) <= 1.12 * bound
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 10, 1000, 4097):
         assert sorted(token_output.feistel(np.arange(n), n)) == list(range(n))
