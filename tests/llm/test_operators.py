@@ -506,7 +506,7 @@ def test_quality_model_on_held_out_rows(spark):
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_equals_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     want = duck.sql(oracle.oracle_sql()[name])
     got = queries.QUERIES[name](spark, SF_DIR).select(*want.columns).collect()
