@@ -133,8 +133,11 @@ def dedup_lines(
     # The row as a whole, so that no column of it can be taken for one of these.
     added = {"n_lines", "n_dropped", "kept_text"}
     given = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added)).alias("_row")
-    whole = docs.select(given, F.col(id_col).cast("long").alias("_id"), _lines(F.col(text_col)).alias("_lines"))
+    whole = docs.select(given, F.col(id_col).cast("long").alias("_id"), *([F.col(text_col).alias("_text")] if text_col in added else []))
     joined = whole.join(gone, F.col("_id").eqNullSafe(F.col("doc_id")), "left")
+    # Split after the join: rows are moved with their text once.
+    text = F.col("_text") if text_col in added else F.col("_row").getField(text_col)
+    joined = joined.withColumn("_lines", _lines(text))
     stays = F.filter(
         "_lines",
         lambda line: (F.length(line) < least_length) | ~F.array_contains("_gone", _hashed(line_key(line))),
