@@ -153,6 +153,31 @@ def test_preference_pairs_with_and_without_id(spark, tmp_path, put):
         readers.read_training_pairs(spark, str(tmp_path / "q.parquet"))
 
 
+def test_written_pairs_are_compressed_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "COMPRESSED_ROWS", 100, raising=False)
+    patch = "concat_ws('\\n+', transform(sequence(0, 40), i -> sha2(concat(id, ' ', i), 256)))"
+    texts = spark.range(0, 250, 1, 1).selectExpr("concat('i', id) AS instance_id", f"{patch} AS chosen")
+    made = texts.selectExpr("concat('Given this issue:\\n', chosen) AS prompt", "chosen", "left(chosen, 1300) AS rejected", "instance_id")
+    raw = made.selectExpr("sum(length(prompt) + length(chosen) + length(rejected))").first()[0]
+    path = tmp_path / "p.json"
+    assert writers.write_preference_pairs(made, str(path)) == 250
+    files = [f for f in path.iterdir() if f.name.startswith("part-")]
+    # The patches are noise: what is saved is that a pair holds them more than once, and four bits a digit.
+    assert sum(f.stat().st_size for f in files) < raw * 0.35
+    assert len(files) == 3
+    assert rows(readers.read_preference_pairs(spark, str(path))) == rows(made)
+
+
+def test_lines_for_other_tools_stay_plain(spark, tmp_path):
+    predictions = spark.createDataFrame(PAIRS, "instance_id string, patch string")
+    writers.write_predictions(predictions, str(tmp_path / "p"))
+    writers.write_submission(pred.submission(predictions, predictions, "m"), str(tmp_path / "s"))
+    writers.write_dataset(predictions, str(tmp_path / "d"), compression="none")
+    for name in "psd":
+        lines = [json.loads(x) for f in (tmp_path / name).glob("part-*.json") for x in f.read_text().splitlines()]
+        assert sorted(line["instance_id"] for line in lines) == [k for k, _ in PAIRS]
+
+
 def test_sft_examples(spark, tmp_path):
     df = spark.createDataFrame([("i", "p", "c", "pc")], schemas.SFT_EXAMPLE)
     for name, format in [("s.json", "json"), ("s", "parquet")]:
